@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, token_counts
+from . import bpe, language, media, mixing, token_counts
 
 #: Tokenizer files by parameter; never copied into the repository.
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -27,11 +28,26 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that aren't held out."""
+    docs = documents(spark, sf_dir)
+    out = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    model = language.fit(docs.where(~language.held_out()))
+    return language.identify(out, model, spans=False, keep=["doc_id", "held_out"])
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE), limit=4096, keep=["doc_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op4_byte_bpe, op7_token_counts)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed, each in its one source, to weights 5, 2, 1 in turn."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", mixing.words_in("text").alias("words"), F.xxhash64("text").alias("h"))
+    out = mixing.mix(docs, F.array("source"), F.col("words"), ["doc_id", "h"], weights=(5, 2, 1), seed=7, name="op10")
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op4_byte_bpe, op6_language, op7_token_counts, op10_mixing)}
 
 ORACLES: dict[str, str] = {}

@@ -12,6 +12,7 @@ empty table; input columns pass through unless an output column has their name.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -82,10 +83,10 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int =
     check_vocabulary(path)
     frequent = frequent_pretokens(df, text_col)
     table = dict(zip(frequent, map(len, _library(path).encode(frequent)))) if frequent else {}
-    shared = df.sparkSession.sparkContext.broadcast(table)
+    shared, key = df.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def make():
-        lengths = _worker_lengths(shared.id, shared.value, path)
+        lengths = _worker_lengths(key, shared.value, path)
 
         def run(batch):
             whole = texts(batch, text_col)
@@ -100,7 +101,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int =
 _KEPT: dict = {}
 
 
-def _worker_lengths(key: int, frequent: dict[str, int], path: str) -> Lengths:
+def _worker_lengths(key: str, frequent: dict[str, int], path: str) -> Lengths:
     """The worker's cache outlives a task."""
     if (key, path) not in _KEPT:
         _KEPT.clear()
