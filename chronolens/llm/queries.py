@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, mixing, token_counts
+from . import bpe, language, media, mixing, pii, token_counts
 
 #: Tokenizer files by parameter; never copied into the repository.
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -23,6 +23,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_digests(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text, and the terms that give it away."""
+    found = pii.find(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"], name="op3")
+    spans = F.col("spans")
+    counts = [F.size(pii.of_kind(spans, [k])).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(pii.of_kind(spans, pii.KINDS)), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and bytes of every whole text, as digests."""
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, keep=["doc_id"])
@@ -48,6 +56,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op4_byte_bpe, op6_language, op7_token_counts, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op3_pii, op4_byte_bpe, op6_language, op7_token_counts, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
