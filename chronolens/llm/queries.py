@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, mixing, pii, token_counts
+from . import bpe, language, media, mixing, near_dup, pii, token_counts
 
 #: Tokenizer files by parameter; never copied into the repository.
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -49,6 +49,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE), limit=4096, keep=["doc_id"])
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dup.classes(documents(spark, sf_dir), name="op9")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed, each in its one source, to weights 5, 2, 1 in turn."""
     docs = documents(spark, sf_dir).select("doc_id", "source", mixing.words_in("text").alias("words"), F.xxhash64("text").alias("h"))
@@ -56,6 +61,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op3_pii, op4_byte_bpe, op6_language, op7_token_counts, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op3_pii, op4_byte_bpe, op6_language, op7_token_counts, op9_near_duplicates, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
