@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, mixing, near_dup, pii, token_counts
+from . import bpe, language, media, mixing, near_dup, pii, token_counts, topk
 
 #: Tokenizer files by parameter; never copied into the repository.
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -23,6 +23,12 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_digests(documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of each fiftieth vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.search(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256, name="op2")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text, and the terms that give it away."""
     found = pii.find(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"], name="op3")
@@ -61,6 +67,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op3_pii, op4_byte_bpe, op6_language, op7_token_counts, op9_near_duplicates, op10_mixing)}
-
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_top_k, op3_pii, op4_byte_bpe, op6_language, op7_token_counts, op9_near_duplicates, op10_mixing)}
+
+ORACLES: dict[str, str] = {
+    "op2_top_k": """
+        WITH whole AS (
+            SELECT vec_id, row_number() OVER () AS row_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.row_id AS q_row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.row_id <> c.row_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id) AS place FROM scored
+        )
+        SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+    """,
+}
