@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, mixing, near_dup, pii, token_counts, topk
+from . import bpe, language, lm, media, mixing, near_dup, pii, token_counts, topk
 
 #: Tokenizer files by parameter; never copied into the repository.
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -55,6 +55,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE), limit=4096, keep=["doc_id"])
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every whole text."""
+    return lm.score(documents(spark, sf_dir).select("doc_id", "text"), name="op8")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_dup.classes(documents(spark, sf_dir), name="op9")
@@ -67,7 +72,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_top_k, op3_pii, op4_byte_bpe, op6_language, op7_token_counts, op9_near_duplicates, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_top_k, op3_pii, op4_byte_bpe, op6_language, op7_token_counts, op8_lm_scores, op9_near_duplicates, op10_mixing)}
 
 ORACLES: dict[str, str] = {
     "op2_top_k": """
