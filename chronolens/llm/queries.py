@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, lm, media, mixing, near_dup, pii, token_counts, topk
+from . import bpe, html_text, language, lm, media, mixing, near_dup, pii, token_counts, topk
 
 #: Tokenizer files by parameter; never copied into the repository.
 BYTE_BPE, PIECE_BPE = "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
@@ -42,6 +42,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that aren't held out."""
     docs = documents(spark, sf_dir)
@@ -72,7 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_top_k, op3_pii, op4_byte_bpe, op6_language, op7_token_counts, op8_lm_scores, op9_near_duplicates, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_top_k, op3_pii, op4_byte_bpe, op5_html_text, op6_language, op7_token_counts, op8_lm_scores, op9_near_duplicates, op10_mixing)}
 
 ORACLES: dict[str, str] = {
     "op2_top_k": """

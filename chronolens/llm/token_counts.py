@@ -18,7 +18,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, map_rows, texts
+from .common import fields, map_rows, materialise, texts
 
 #: Entries of the broadcast table, items that a sketch tracks, groups of partitions whose sketches merge first, and entries of a worker's cache.
 FREQUENT, TRACKED, GROUPS, CACHED = 16_384, 65_536, 64, 500_000
@@ -72,9 +72,12 @@ class Lengths(dict):
 
 def frequent_pretokens(df: DataFrame, text_col: str = "text") -> list[str]:
     """At most FREQUENT pre-tokens, by a sketch over all texts; sketches of groups of partitions merge first, then the groups'."""
-    words = df.select(F.explode(F.split(f"`{text_col}`", " ")).alias("w"), (F.spark_partition_id() % GROUPS).alias("g"))
-    sketches = words.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("s"))
-    found = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {FREQUENT})").alias("top")).first()
+    words = df.select(F.explode(F.split(f"`{text_col}`", " ")).alias("w"), (F.spark_partition_id() % GROUPS).alias("g")).where("w is not null")
+    sketches = materialise(words.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("s")), "sketches")
+    if sketches.isEmpty():
+        return []
+    # at most GROUPS sketches, in one partition: combining an empty one fails in Spark
+    found = sketches.coalesce(1).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED}), {FREQUENT})").alias("top")).first()
     return [x["item"] for x in (found["top"] if found and found["top"] else []) if x["item"]]
 
 
