@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +96,8 @@ def fit_states(assets: DataFrame, rows: DataFrame, states: DataFrame, names: Seq
     windows = windows.select(*[F.col(c).alias(c) for c in windows.columns])
     history = usable.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else usable.withColumn("block", F.lit(0))
 
-    def fit(h, w):
-        import pandas as pd
-
-        out = {"t": [], "factor": [], "asset": [], "beta": []}
+    def fit(h: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        out, kind_of_t = {"t": [], "factor": [], "asset": [], "beta": []}, w["t"].dtype
         if len(h) and len(w):
             h, w = h.sort_values("pos"), w.sort_values("t")
             pos, y = h["pos"].to_numpy(), h["y"].to_numpy(np.float64)
@@ -120,8 +119,8 @@ def fit_states(assets: DataFrame, rows: DataFrame, states: DataFrame, names: Seq
                         out["asset"].append(h["asset"].iloc[0])
                         out["beta"].append(v if np.isfinite(v) else None)
         made = pd.DataFrame(out)
-        made["beta"] = made["beta"].astype("Float64")
-        made.insert(0, by, h[by].iloc[0] if len(h) else None)
+        made = made.astype({"t": kind_of_t, "factor": object, "asset": object, "beta": "Float64"})
+        made.insert(0, by, pd.Series([h[by].iloc[0]] * len(made) if len(made) else [], dtype=object))
         return made
 
     kind = f"{by} string, t {states.schema['t'].dataType.simpleString()}, factor string, asset string, beta double"
