@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 def decay(half_life: float | None = None, lambda_: float | None = None) -> float:
     """The factor of one row of age. lambda_ wins, but a half_life that is given must be positive all the same."""
     if half_life is None and lambda_ is None:
-        raise ValueError("Either half_life or lambda_ must be provided.")
+        raise ValueError("give half_life or lambda_")
     if half_life is not None and half_life <= 0:
-        raise ValueError("half_life must be positive.")
+        raise ValueError("half_life must be above 0")
     if lambda_ is not None and not 0 < lambda_ < 1:
-        raise ValueError("lambda_ must be between 0 and 1.")
+        raise ValueError("lambda_ must lie between 0 and 1")
     return math.exp(math.log(0.5) / half_life) if lambda_ is None else lambda_
 
 

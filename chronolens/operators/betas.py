@@ -70,7 +70,7 @@ def window_states(rows: DataFrame, assets: DataFrame, times: DataFrame, k: int,
 def check_windows(states: DataFrame, half_life: float | None, lambda_: float | None) -> bool:
     """Raises for the earliest window in which a factor doesn't move, or whose weights can't be had; else whether there is one to fit."""
     at = {r["state"]: r["t"] for r in states.where(F.col("state").isin(FLAT_FACTOR, OK)).groupBy("state").agg(F.min("t").alias("t")).collect()}
-    problem: tuple | None = (at[FLAT_FACTOR], "One or more factors have near-zero variance.") if FLAT_FACTOR in at else None
+    problem: tuple | None = (at[FLAT_FACTOR], "a factor has near-zero variance") if FLAT_FACTOR in at else None
     if OK in at:
         try:
             decay(half_life, lambda_)

@@ -19,7 +19,7 @@ def require_time(df: DataFrame, col: str, label: str) -> None:
 
 def require_rows(df: DataFrame, label: str) -> None:
     if df.isEmpty():
-        raise ValueError(f"Input DataFrame {label} is empty.")
+        raise ValueError(f"{label} is empty")
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
@@ -37,7 +37,7 @@ def require_same_index(a: DataFrame, b: DataFrame, col: str = "ts") -> None:
     """Both tables have rows at the same times."""
     x, y = a.select(col).distinct(), b.select(col).distinct()
     if not x.join(y, col, "left_anti").isEmpty() or not y.join(x, col, "left_anti").isEmpty():
-        raise ValueError("assets and factors must have the same index.")
+        raise ValueError("assets and factors must have the same index")
 
 
 def panel_faults(assets: DataFrame, factors: DataFrame, order: str) -> dict[str, int]:
@@ -55,9 +55,9 @@ def require_panel(assets: DataFrame, factors: DataFrame, order: str) -> None:
     found = panel_faults(assets, factors, order)
     for k in ("assets", "factors"):
         if not found[k]:
-            raise ValueError(f"Input DataFrame {k} is empty.")
+            raise ValueError(f"{k} is empty")
     if found["apart"]:
-        raise ValueError("assets and factors must have the same index.")
+        raise ValueError("assets and factors must have the same index")
     if found["twice_a"]:
         require_unique(assets, [order, "asset"], "assets has duplicate asset name(s) at a time")
     if found["twice_f"]:
