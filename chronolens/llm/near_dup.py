@@ -10,8 +10,9 @@ probability of their bags' weighted Jaccard similarity. Points are made only up
 
 BANDS bands of ROWS components give bucket keys (a pair of similarity 0.8 misses all with probability 3e-6). Distinct texts of a bucket are first
 compared with its smallest member only; verified links make classes. Then every pair of a bucket whose members are still in different classes is
-compared, where buckets of more than HEAVY texts are first cut finer by each further band, so that only texts alike in two bands meet. Every link is
-verified on the whole bags; links inside a class already found need no comparison.
+compared if it shares AGREE buckets (a pair of similarity 0.8 fails this with probability 5e-5) and passes two bounds that no similar pair fails: of the
+bags' sizes, and of their overlap by the counts of FOLDS hash classes. Every link is verified on the whole bags; links inside a class already found
+need no comparison.
 
 Equal texts are one node. Rows with a null text count as empty. A null id counts as the largest. Ties: the smallest id stands for a class.
 An empty table gives an empty table. Extra columns pass through in deduplicate() and are ignored in classes(); names that begin with _nd_ are the operator's own.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, fields, map_rows, materialise, texts
 
-SHINGLE, SIMILAR, BANDS, ROWS, HEAVY = 5, 0.8, 32, 5, 64
+SHINGLE, SIMILAR, BANDS, ROWS, AGREE, FOLDS = 5, 0.8, 32, 5, 2, 128
 SIZE = BANDS * ROWS
 #: Words of texts handled at once, and word hashes that a worker keeps.
 WORDS_AT_ONCE, CACHED = 100_000, 500_000
@@ -134,11 +135,11 @@ def _keys() -> list[Column]:
 
 
 def _hash_bags(df: DataFrame) -> DataFrame:
-    """Adds _nd_keys: the bucket keys, null for an empty bag."""
+    """Adds _nd_keys, the bucket keys, null for an empty bag; _nd_weight, the bag's size; _nd_fold, its counts by hash class."""
 
     def make():
         def run(batch):
-            whole, at, keys = texts(batch, "_nd_text"), 0, []
+            whole, at, keys, weight, fold = texts(batch, "_nd_text"), 0, [], [], []
             while at < len(whole):
                 bags, words = [], 0
                 while at < len(whole) and words < WORDS_AT_ONCE:
@@ -146,11 +147,13 @@ def _hash_bags(df: DataFrame) -> DataFrame:
                     words += int(bags[-1][1].sum())
                     at += 1
                 keys += [k.tolist() if len(b[0]) else None for k, b in zip(bucket_keys(signatures(bags)), bags)]
-            return [keys]
+                weight += [int(b[1].sum()) for b in bags]
+                fold += [np.bincount((b[0] >> np.uint64(40)).astype(np.int64) % FOLDS, b[1], FOLDS).astype(np.int64).tolist() for b in bags]
+            return keys, weight, fold
 
         return run
 
-    return map_rows(df, make, fields("_nd_keys array<bigint>"), keep=[c for c in df.columns if c != "_nd_text"], needs=["_nd_text"])
+    return map_rows(df, make, fields("_nd_keys array<bigint>, _nd_weight bigint, _nd_fold array<int>"), keep=[c for c in df.columns if c != "_nd_text"], needs=["_nd_text"])
 
 
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -193,12 +196,12 @@ def _nodes(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFr
     rows = df.select(F.col(id_col).cast("long").alias("_nd_id"), _text(text_col))
     rows = rows.select("_nd_id", "_nd_text", *_keys())
     hashed = _hash_bags(rows)
-    nodes = hashed.groupBy("_nd_k1", "_nd_k2").agg(F.min("_nd_id").alias("first"), F.first("_nd_keys").alias("keys"))
+    nodes = hashed.groupBy("_nd_k1", "_nd_k2").agg(F.min("_nd_id").alias("first"), F.first("_nd_keys").alias("keys"), F.first("_nd_weight").alias("weight"), F.first("_nd_fold").alias("fold"))
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), f"{name}-nodes")
     member = nodes.select("id", F.explode("keys").alias("h"))
     buckets = member.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     buckets = materialise(buckets.where("n > 1"), f"{name}-buckets")
-    large = materialise(member.join(buckets.where("n > 2").select("h", "low", "n"), "h"), f"{name}-members")
+    large = materialise(member.join(buckets.where("n > 2").select("h", "low"), "h"), f"{name}-members")
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(large.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")))
     pairs = materialise(pairs.distinct(), f"{name}-pairs")
     # whole texts of the nodes that share a bucket with another: what any comparison needs
@@ -209,16 +212,24 @@ def _nodes(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFr
     links = materialise(_verified(pairs, whole), f"{name}-links")
     label = _components(links, name)
 
-    # what is left: members of one bucket in different classes
-    rest = large.join(label, "id", "left").select("h", "n", "id", F.coalesce("label", "id").alias("label"))
-    mixed = rest.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
-    rest = materialise(rest.join(mixed, "h"), f"{name}-rest")
-    fine = rest.where(F.col("n") > HEAVY)
-    fine = fine.join(nodes.select("id", "keys"), "id").select("h", "id", "label", F.explode("keys").alias("h2")).where("h2 != h").select(F.xxhash64("h", "h2").alias("h"), "id", "label")
-    crowd = fine.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
-    left = materialise(rest.where(F.col("n") <= HEAVY).select("h", "id", "label").union(fine.join(crowd, "h").select("h", "id", "label")), f"{name}-left")
-    a, b = left.select("h", F.col("id").alias("a"), F.col("label").alias("la")), left.select("h", F.col("id").alias("b"), F.col("label").alias("lb"))
-    more = a.join(b, "h").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # what is left: members of one bucket in different classes. Rows outside the bucket's first class meet all others; the pair must share AGREE
+    # buckets and pass two bounds that no similar pair fails, and comes up in its smallest shared bucket only
+    rest = large.join(label, "id", "left").select("h", "id", F.coalesce("label", "id").alias("label"))
+    mixed = rest.groupBy("h").agg(F.min("label").alias("main"), F.max("label").alias("most")).where("main < most").select("h", "main")
+    rest = materialise(rest.join(mixed, "h"), f"{name}-rest").join(nodes.select("id", "keys", "weight", "fold"), "id")
+    a = rest.where("label <> main").select("h", "main", *[F.col(c).alias(f"a_{c}") for c in ("id", "label", "keys", "weight", "fold")])
+    b = rest.select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "label", "keys", "weight", "fold")])
+    shared = F.array_intersect("a_keys", "b_keys")
+    most = F.aggregate(F.zip_with("a_fold", "b_fold", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    may = (
+        (F.col("a_label") != F.col("b_label"))
+        & ((F.col("b_label") == F.col("main")) | (F.col("a_label") < F.col("b_label")))
+        & (F.least("a_weight", "b_weight") >= SIMILAR * F.greatest("a_weight", "b_weight"))
+        & (F.size(shared) >= AGREE)
+        & (F.array_min(shared) == F.col("h"))
+        & (most * (1 + SIMILAR) >= SIMILAR * (F.col("a_weight") + F.col("b_weight")) - 1e-6)
+    )
+    more = a.join(b.withColumnRenamed("h", "b_h"), (F.col("h") == F.col("b_h")) & may).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
     more = materialise(more.join(pairs, ["a", "b"], "left_anti"), f"{name}-more")
     found = materialise(_verified(more, whole), f"{name}-more-links")
     if not found.isEmpty():
