@@ -8,11 +8,11 @@ shingle and interval, that come in ascending order; each point falls on one of S
 document if the level is below the shingle's weight there. A component's value is its first point. Two documents agree in a component with the
 probability of their bags' weighted Jaccard similarity. Points are made only up to the time by which all components are filled.
 
-BANDS bands of ROWS components give bucket keys (a pair of similarity 0.8 misses all with probability 3e-6). Distinct texts of a bucket are first
-compared with its smallest member only; verified links make classes. Then every pair of a bucket whose members are still in different classes is
-compared if it shares AGREE buckets (a pair of similarity 0.8 fails this with probability 5e-5) and passes two bounds that no similar pair fails: of the
-bags' sizes, and of their overlap by the counts of FOLDS hash classes. Every link is verified on the whole bags; links inside a class already found
-need no comparison.
+BANDS bands of ROWS components give bucket keys (a pair of similarity 0.8 misses all with probability 3e-6). In a bucket, distinct texts are first
+paired with its smallest member only, and each text keeps its FIRST smallest of these; verified links make classes. Then every pair of a bucket
+whose members are still in different classes is compared if it shares AGREE buckets (a pair of similarity 0.8 fails this with probability 5e-5)
+and passes two bounds that no similar pair fails: of the bags' sizes, and of their overlap by the counts of FOLDS hash classes. Every link is
+verified on the whole bags; links inside a class already found need no comparison.
 
 Equal texts are one node. Rows with a null text count as empty. A null id counts as the largest. Ties: the smallest id stands for a class.
 An empty table gives an empty table. Extra columns pass through in deduplicate() and are ignored in classes(); names that begin with _nd_ are the operator's own.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Memo, fields, map_rows, materialise, texts
 
-SHINGLE, SIMILAR, BANDS, ROWS, AGREE, FOLDS = 5, 0.8, 32, 5, 2, 128
+SHINGLE, SIMILAR, BANDS, ROWS, FIRST, AGREE, FOLDS = 5, 0.8, 32, 5, 3, 2, 128
 SIZE = BANDS * ROWS
 #: Words of texts handled at once, and word hashes that a worker keeps.
 WORDS_AT_ONCE, CACHED = 100_000, 500_000
@@ -202,7 +202,10 @@ def _nodes(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFr
     buckets = member.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     buckets = materialise(buckets.where("n > 1"), f"{name}-buckets")
     large = materialise(member.join(buckets.where("n > 2").select("h", "low"), "h"), f"{name}-members")
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).union(large.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    # a text is in BANDS buckets at most; its first few smallest neighbours make most links, the second comparison is there for the rest
+    near = large.where("id > low").groupBy("id").agg(F.slice(F.array_sort(F.collect_set("low")), 1, FIRST).alias("lows"))
+    pairs = pairs.union(near.select(F.explode("lows").alias("a"), F.col("id").alias("b")))
     pairs = materialise(pairs.distinct(), f"{name}-pairs")
     # whole texts of the nodes that share a bucket with another: what any comparison needs
     wanted = large.select("id").union(buckets.where("n = 2").select(F.explode(F.array("low", "high")).alias("id"))).distinct()
