@@ -18,6 +18,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,7 +29,7 @@ from .common import fields, map_rows, texts
 UNDETERMINED = "und"
 #: Labelled texts of each language that the counts come from, smoothing, cost in nats of a change of language, share of a language's letters from
 #: which a script counts as its own, cost of a language that doesn't use a word's script, and words that a worker keeps scores of.
-PER_LANGUAGE, SMOOTH, SWITCH, SCRIPT_SHARE, FOREIGN, CACHED = 600, 0.5, 25.0, 0.01, 30.0, 400_000
+PER_LANGUAGE, SMOOTH, SWITCH, SCRIPT_SHARE, FOREIGN, CACHED = 600, 0.5, 25.0, 0.01, 30.0, 600_000
 
 # Code point ranges of scripts (first, last, name).
 SCRIPTS = [
@@ -43,9 +44,16 @@ SCRIPTS = [
 ]
 
 
-def script_of(letter: str) -> str:
-    c = ord(letter)
-    return next((name for a, b, name in SCRIPTS if a <= c <= b), "other")
+class _ScriptOf(dict):
+    """letter -> script, looked up in the ranges once for each letter."""
+
+    def __missing__(self, letter: str) -> str:
+        c = ord(letter)
+        self[letter] = name = next((name for a, b, name in SCRIPTS if a <= c <= b), "other")
+        return name
+
+
+script_of = _ScriptOf().__getitem__
 
 
 def letters_of(token: str) -> str:
@@ -75,19 +83,29 @@ class Model:
                     by_gram.setdefault(g, [0.0] * len(self.langs))[k] += n
             script_letters.append(letters)
         total = [sum(row[k] for row in by_gram.values()) + SMOOTH * (len(by_gram) + 1) for k in range(len(self.langs))]
-        self.rows = {g: np.array([math.log((n + SMOOTH) / t) for n, t in zip(row, total)]) for g, row in by_gram.items()}
-        self.unseen = np.array([math.log(SMOOTH / t) for t in total])
+        #: n-gram -> row of the table of its log probabilities by language; row 0 is that of an n-gram never seen
+        self.row = {g: k for k, g in enumerate(by_gram, 1)}
+        self.table = np.array([[math.log(SMOOTH / t) for t in total], *[[math.log((n + SMOOTH) / t) for n, t in zip(row, total)] for row in by_gram.values()]]).reshape(len(by_gram) + 1, len(self.langs))
         self.scripts: dict[str, np.ndarray] = {}
         for s in {s for letters in script_letters for s in letters}:
             uses = np.array([x[s] >= SCRIPT_SHARE * sum(x.values()) for x in script_letters])
             if uses.any():
                 self.scripts[s] = uses
 
-    def score(self, word: str) -> np.ndarray:
-        rows, unseen = self.rows, self.unseen
-        out = sum((rows.get(g, unseen) for g in grams(word)), np.zeros(len(self.langs)))
-        uses = self.scripts.get(Counter(map(script_of, word)).most_common(1)[0][0])
-        return out if uses is None else np.where(uses, out, out - FOREIGN)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Words by languages."""
+        get, rows, ends = self.row.get, [], []
+        for word in words:
+            rows.extend(map(get, grams(word)))
+            ends.append(len(rows))
+        at = np.array([0 if r is None else r for r in rows], np.int64)
+        out = np.add.reduceat(self.table[at], [0, *ends[:-1]], axis=0)
+        for k, word in enumerate(words):
+            found = set(map(script_of, word))
+            script = found.pop() if len(found) == 1 else Counter(map(script_of, word)).most_common(1)[0][0]
+            if (uses := self.scripts.get(script)) is not None and not uses.all():
+                out[k, ~uses] -= FOREIGN
+        return out
 
 
 class Labeller:
@@ -98,27 +116,25 @@ class Labeller:
         self.table = np.zeros((1024, len(model.langs)))  # row 0: no letter, no say
         self.size = np.zeros(1024, np.int32)
 
-    def _add(self, token: str) -> int:
-        word = letters_of(token)
-        if not word:
-            at = 0
-        else:
-            if self.used == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-            at, self.used = self.used, self.used + 1
-            self.table[at], self.size[at] = self.m.score(word), len(word)
-        self.place[token] = at
-        return at
-
-    def _rows(self, tokens: list[str]) -> np.ndarray:
+    def learn(self, tokens: Iterable[str]) -> None:
+        """Scores of the tokens that have none yet, all at once."""
         if self.used > CACHED:
             self.place, self.used = {}, 1
-        get = self.place.get
-        found = list(map(get, tokens))
-        if None in found:
-            found = [self.place[t] if t in self.place else self._add(t) for t in tokens]
-        return np.array(found, np.int64)
+        new = [t for t in set(tokens) if t not in self.place]
+        words = [letters_of(t) for t in new]
+        self.place.update((t, 0) for t, w in zip(new, words) if not w)
+        pairs = [(t, w) for t, w in zip(new, words) if w]
+        if not pairs:
+            return
+        stop = self.used + len(pairs)
+        if stop > len(self.table):
+            grow = max(stop, 2 * len(self.table)) - len(self.table)
+            self.table = np.concatenate([self.table, np.zeros((grow, self.table.shape[1]))])
+            self.size = np.concatenate([self.size, np.zeros(grow, np.int32)])
+        self.table[self.used : stop] = self.m.scores([w for _, w in pairs])
+        self.size[self.used : stop] = [len(w) for _, w in pairs]
+        self.place.update((t, self.used + k) for k, (t, _) in enumerate(pairs))
+        self.used = stop
 
     def path(self, scores: np.ndarray) -> np.ndarray:
         """The language of each word on the best path."""
@@ -148,10 +164,19 @@ class Labeller:
     def label(self, text: str, with_spans: bool = True) -> tuple[str, float, list[dict]]:
         """The language with the most letters on the best path; that share times the language's share of the mean word's likelihood; the spans in
         code points, from a stretch's first word to its last."""
-        tokens = text.split()
-        if not self.m.langs or not tokens:
+        return self.labels([text], with_spans)[0]
+
+    def labels(self, whole: list[str], with_spans: bool = True) -> list[tuple[str, float, list[dict]]]:
+        each = [t.split() for t in whole]
+        if not self.m.langs:
+            return [(UNDETERMINED, 0.0, [])] * len(whole)
+        self.learn(chain.from_iterable(each))
+        return [self._label(x, t, with_spans) for x, t in zip(whole, each)]
+
+    def _label(self, text: str, tokens: list[str], with_spans: bool) -> tuple[str, float, list[dict]]:
+        if not tokens:
             return UNDETERMINED, 0.0, []
-        at = self._rows(tokens)
+        at = np.array(list(map(self.place.__getitem__, tokens)), np.int64)
         at_word = at[at > 0]
         if not len(at_word):
             return UNDETERMINED, 0.0, []
@@ -213,7 +238,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", spans: bool =
         labeller = _labeller(key, shared.value)
 
         def run(batch):
-            found = [labeller.label(x, spans) for x in texts(batch, text_col)]
+            found = labeller.labels(texts(batch, text_col), spans)
             return ([f[0] for f in found], [f[1] for f in found], [f[2] for f in found])[: 2 + spans]
 
         return run
