@@ -24,7 +24,7 @@ from .common import materialise
 
 BLOCK, QUERIES_AT_ONCE, LEVELS, FEW, GROUPS = 8192, 512, 64, 96, 4096
 #: Shares of the largest impact at which bounds are compared.
-STOPS = (0.4, 0.2, 0.1, 0.0)
+STOPS = (0.5, 0.0)
 #: Queries of which a task keeps the best rows before it hands them on.
 HELD = 20_000
 
@@ -44,6 +44,7 @@ class Block:
         self.low = m.min(0)
         self.width = np.maximum(1, -(-(m.max(0) - self.low + 1) // LEVELS))
         code = (m - self.low) // self.width
+        self.code = np.ascontiguousarray(code.T).astype(np.uint8)
         order = np.argsort(code, axis=0, kind="stable")
         self.rows = np.ascontiguousarray(order.T).astype(np.int32)  # by dimension, then step
         self.ends = np.stack([np.searchsorted(code[order[:, j], j], np.arange(LEVELS), "right") for j in range(d)]) if d else np.zeros((0, LEVELS), np.int64)
@@ -71,8 +72,13 @@ class Block:
             now = (impact >= limit) if last is None else (impact >= limit) & (impact < last)
             now &= impact > 0
             last = limit
-            dims, segs = np.nonzero(now)
-            if len(dims):
+            dims, segs = np.nonzero(now) if limit else ((), ())
+            if limit == 0:
+                # all that is left, each dimension's steps at once: every row is in one step of each dimension
+                rest = np.where(now, impact, 0).astype(np.float64)
+                for j in np.flatnonzero(now.any(1)).tolist():
+                    score += rest[j].take(self.code[j])
+            elif len(dims):
                 order = np.argsort(-impact[dims, segs], kind="stable")
                 dims, segs = dims[order], segs[order]
                 size = self.ends[dims, segs] - begin[dims, segs]
@@ -151,6 +157,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str
                 block = Block.__new__(Block)
                 block.m, block.low = m, m.min(0)
                 block.width = np.maximum(1, -(-(m.max(0) - block.low + 1) // LEVELS))
+                block.code = np.ascontiguousarray(((m - block.low) // block.width).T).astype(np.uint8)
                 block.rows = np.frombuffer(row["rows"], np.int32).reshape(row["d"], row["n"])
                 block.ends = np.frombuffer(row["ends"], np.int64).reshape(row["d"], LEVELS)
                 for qi, has, qu, q in zip(q_ids.tolist(), q_given.tolist(), q_uids.tolist(), q_m):
