@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, map_rows, materialise, texts
+from .common import ROWS_PER_CALL, fields, map_rows, materialise, texts
 from .near_dup import mix
 
-FREQUENT, BITS, HASHES, MOST_BITS, WEIGHT, ADD = 400_000, 8, 4, 1 << 30, 0.7, 0.1
-#: Characters of text for each segment of the filter (a power of two of them, between the two bounds), n-grams a task holds before it hands their
-#: counts on, and words a worker keeps hashes of.
-CHARS, LEAST_SEGMENTS, MOST_SEGMENTS, HELD, CACHED = 1 << 22, 64, 1 << 24, 3_000_000, 400_000
+FREQUENT, BITS, HASHES, MOST_BITS, WEIGHT, ADD = 250_000, 6, 4, 1 << 30, 0.7, 0.1
+#: Characters of text for each segment of the filter (a power of two of them, between the two bounds), bigrams (and a third as
+#: many distinct words) a task holds before it hands their counts on, and words a worker keeps hashes of.
+CHARS, LEAST_SEGMENTS, MOST_SEGMENTS, HELD, CACHED = 1 << 22, 64, 1 << 24, 1_000_000, 150_000
 
 END = b" "
 _STEP, _ONE = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
@@ -119,35 +119,44 @@ def _count(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.Reco
     shift = np.uint64(64 - segments.bit_length() + 1)
     words, pairs, held = Counter(), [], 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        keys, n = list(words), np.array(list(words.values()), np.int64)
-        whole = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
-        whole.sort()
-        first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]])) if len(whole) else np.zeros(0, np.int64)
-        h = np.concatenate([whole[first], unigram(_HASHES.of(keys)) if keys else np.zeros(0, np.uint64)])
-        h, m = _sums(h, np.concatenate([np.diff(first, append=len(whole)), n]))
+    def packed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         ends = np.searchsorted(h >> shift, np.arange(segments + 1, dtype=np.uint64))
-        full = [(k, _pack(_low(h[a:b], shift), m[a:b])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+        full = [(k, _pack(_low(h[a:b], shift), n[a:b])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.nulls(len(full), pa.int64()), pa.array([k for k, _ in full], pa.int32()), pa.array([b for _, b in full], pa.binary())], schema=schema)
+
+    def flush_pairs() -> Iterator[pa.RecordBatch]:
+        whole = np.concatenate(pairs)
+        pairs.clear()
+        whole.sort()
+        first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
+        yield packed(whole[first], np.diff(first, append=len(whole)))
+
+    def flush_words() -> Iterator[pa.RecordBatch]:
+        keys, n = list(words), np.array(list(words.values()), np.int64)
+        words.clear()
+        yield packed(*_sums(unigram(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)), n))
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8", "surrogatepass") for k in part], pa.string()), pa.array(n[at : at + 50_000]), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.nulls(len(full), pa.int64()), pa.array([k for k, _ in full], pa.int32()), pa.array([b for _, b in full], pa.binary())], schema=schema)
-        words.clear()
-        pairs.clear()
 
     for batch in batches:
-        for x in texts(batch, "t"):
-            w = tokens(x)
-            words.update(w)
-            words[END] += 1
-            h = _HASHES.of(w) if w else np.zeros(0, np.uint64)
-            pairs.append(bigram(np.append(_END, h), np.append(h, _END)))
-            held += len(w) + 1
-            if held >= HELD:
-                yield from flush()
-                held = 0
+        for start in range(0, batch.num_rows, ROWS_PER_CALL):
+            for x in texts(batch.slice(start, ROWS_PER_CALL), "t"):
+                w = tokens(x)
+                words.update(w)
+                words[END] += 1
+                h = _HASHES.of(w) if w else np.zeros(0, np.uint64)
+                pairs.append(bigram(np.append(_END, h), np.append(h, _END)))
+                held += len(w) + 1
+                if held >= HELD:
+                    yield from flush_pairs()
+                    held = 0
+                if len(words) >= HELD // 3:
+                    yield from flush_words()
     if held:
-        yield from flush()
+        yield from flush_pairs()
+    if words:
+        yield from flush_words()
 
 
 def _places(h: np.ndarray, level: int, k: int, size: np.ndarray | int) -> np.ndarray:
@@ -179,11 +188,12 @@ def _fill(most: int):
 class Filter:
     """The segments side by side; count(h) are the counts that the members found stand for."""
 
-    def __init__(self, segments: int, parts: dict[int, bytes]) -> None:
+    def __init__(self, segments: int, sizes: list[int], bits: bytes) -> None:
+        """sizes: bytes of each segment."""
         self.shift = np.uint64(64 - segments.bit_length() + 1)
-        sizes = np.array([len(parts.get(k, b"")) * 8 for k in range(segments)], np.int64)
-        self.size, self.begin = sizes.astype(np.uint64), np.concatenate([[0], sizes.cumsum()[:-1]]).astype(np.uint64)
-        self.bits = np.frombuffer(b"".join(parts.get(k, b"") for k in range(segments)), np.uint8)
+        size = np.array(sizes, np.int64) * 8
+        self.size, self.begin = size.astype(np.uint64), np.concatenate([[0], size.cumsum()[:-1]]).astype(np.uint64)
+        self.bits = np.frombuffer(bits, np.uint8)
 
     def count(self, h: np.ndarray) -> np.ndarray:
         level = np.zeros(len(h), np.int64)
@@ -213,7 +223,7 @@ class Scorer:
     """Rows for the frequent tokens, then for others seen lately: base log probability (0 for others), hash, count."""
 
     def __init__(self, model: dict) -> None:
-        self.f = Filter(model["segments"], model["parts"])
+        self.f = Filter(model["segments"], model["sizes"], model["bits"])
         self.n, self.v, self.ends = model["n"], model["v"], model["ends"]
         self.frequent, c = model["tokens"], np.array(model["counts"], np.float64)
         self.place = {t.encode(): k for k, t in enumerate(self.frequent)}
@@ -300,12 +310,14 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: s
             break
         least = r["s"]
     often = (step >= F.lit(least)) if least is not None else F.lit(False)
-    frequent = counts.where(often & (F.col("token") != END.decode())).collect()
+    frequent = counts.where(often & (F.col("token") != END.decode())).select("token", "c").toArrow()  # FREQUENT rows at most
     filled = counted.where("segment is not null").select("segment", "packed").groupBy("segment").applyInArrow(_fill(MOST_BITS // segments), "segment int, bits binary")
     parts = {r["segment"]: bytes(r["bits"]) for r in filled.toLocalIterator()}  # MOST_BITS bits at most
-    model = {"segments": segments, "parts": parts, "n": n, "v": v, "ends": ends, "tokens": [r["token"] for r in frequent], "counts": [r["c"] for r in frequent]}
+    sizes = [len(parts.get(k, b"")) for k in range(segments)]
+    bits = b"".join(parts.pop(k, b"") for k in range(segments))
+    model = {"segments": segments, "sizes": sizes, "bits": bits, "n": n, "v": v, "ends": ends, "tokens": frequent.column("token").to_pylist(), "counts": frequent.column("c").to_numpy()}
     shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-    del model, parts, frequent
+    del model, parts, frequent, bits
 
     def make():
         scorer = _scorer(key, shared)

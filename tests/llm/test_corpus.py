@@ -82,7 +82,7 @@ def copies():
             w[r.randrange(len(w))] = "edited"
         out.append(" ".join(w))
     big = out[0].split() * 2
-    for k in range(90):  # one group beyond HEAVY
+    for k in range(90):  # one large group
         w = list(big)
         w[r.randrange(len(w))] = f"x{k}"
         out.append(" ".join(w))
@@ -144,10 +144,10 @@ def test_filter_never_undercounts():
         if on.any():
             t = lm._fill(1 << 20)(pa.table({"segment": pa.array([s], pa.int32()), "packed": [lm._pack(lm._low(h[on], shift), n[on])]}))
             parts[s] = t.column("bits")[0].as_py()
-    f = lm.Filter(64, parts)
+    f = lm.Filter(64, [len(parts.get(k, b'')) for k in range(64)], b''.join(parts.get(k, b'') for k in range(64)))
     assert (f.count(h) >= 1.5 * 2.0 ** np.floor(np.log2(n)) - 0.5).all()
     other = r.integers(0, 2**62, 5000).astype(np.uint64)
-    assert (f.count(other) > 0).mean() < 0.08
+    assert (f.count(other) > 0).mean() < 0.1
 
 
 # ---- mixing ----
