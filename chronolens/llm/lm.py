@@ -2,13 +2,14 @@
 
 Tokens are the words of the text (A-Z in lower case) and one end. Counts come from the training documents, all of them. The exact token counts give
 the base score: tokens above a count that leaves at most FREQUENT of them are looked up in a broadcast table, the others' counts are joined. The model's
-own score is map-side only: unigrams and bigrams are held in a Bloom filter with their counts quantised to powers of two, an n-gram of count c as
-1 + floor(log2 c) members; probing for one member after the other until one is missing gives the count back, with one-sided error. A bigram's
-probability is interpolated: WEIGHT * count(v w) / count(v) + (1 - WEIGHT) * (count(w) + 0.1) / (N + 0.1 (V + 1)); the start of a text has the
-end as its context.
+own score takes its unigrams from the same exact counts. Its bigrams are held in a Bloom filter with their counts quantised to powers of two, a bigram
+of count c as 1 + floor(log2 c) members; probing for one member after the other, as far as the largest level stored, until one is missing gives the
+count back, with one-sided error, and no bigram counts for more than either of its words. A bigram's probability is interpolated:
+WEIGHT * count(v w) / count(v) + (1 - WEIGHT) * (count(w) + 0.1) / (N + 0.1 (V + 1)); the start of a text has the end as its context.
 
-The filter is cut by hash into segments which are counted, sized and filled apart, BITS bits a member; all together are at most MOST_BITS, beyond which
-segments fill more densely (more false members, no n-gram left out). Its size and that of FREQUENT entries bound the broadcast.
+The filter is cut by hash into segments which are counted, sized and filled apart, BITS bits a member at every size of the corpus: the number of segments
+grows with the text, not their size. They lie in the shared folder. Texts are scored by chunks of about CHUNK tokens: a chunk's distinct bigrams go to
+their segments, the levels found there come back to the chunk. Only the FREQUENT entries are broadcast; no worker holds more than one segment.
 
 Null texts count as empty (one end, counted). A null id is the empty text for the split into training and held-out documents. Without training documents
 every token has probability 1 in the base. Texts of any length are scored whole; equal texts have equal scores; an empty table gives an empty table.
@@ -25,19 +26,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ROWS_PER_CALL, fields, map_rows, materialise, texts
+from .common import ROWS_PER_CALL, arrow_type, materialise, texts
+from .common import _remove as remove
 from .near_dup import mix
 
-FREQUENT, BITS, HASHES, MOST_BITS, WEIGHT, ADD = 250_000, 6, 4, 1 << 30, 0.7, 0.1
+FREQUENT, BITS, HASHES, WEIGHT, ADD = 250_000, 6, 4, 0.7, 0.1
 #: Characters of text for each segment of the filter (a power of two of them, between the two bounds), bigrams (and a third as
-#: many distinct words) a task holds before it hands their counts on, and words a worker keeps hashes of.
-CHARS, LEAST_SEGMENTS, MOST_SEGMENTS, HELD, CACHED = 1 << 22, 64, 1 << 24, 1_000_000, 150_000
+#: many distinct words) a task holds before it hands their counts on, words a worker keeps hashes of, and tokens scored at once.
+CHARS, LEAST_SEGMENTS, MOST_SEGMENTS, HELD, CACHED, CHUNK = 1 << 23, 64, 1 << 24, 1_000_000, 150_000, 1_500_000
 
 END = b" "
-_STEP, _ONE = np.uint64(0xD1342543DE82EF95), np.uint64(0xA0761D6478BD642F)
+_STEP = np.uint64(0xD1342543DE82EF95)
 _LOW = 40  # bits of a hash within its segment's stretch of the 64-bit range
 
 
@@ -53,10 +58,6 @@ def bigram(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mix(before * _STEP + after)
 
 
-def unigram(word: np.ndarray) -> np.ndarray:
-    return mix(word ^ _ONE)
-
-
 class _Hashes:
     """Words -> rows of a table of their hashes."""
 
@@ -91,17 +92,27 @@ def _low(h: np.ndarray, shift: np.uint64) -> np.ndarray:
     return (h >> (shift - np.uint64(_LOW))) & np.uint64((1 << _LOW) - 1)
 
 
-def _pack(low: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending low bits by differences of 32 bits (of 64 if one is too large), and counts."""
+def _gaps(low: np.ndarray) -> bytes:
+    """Ascending low bits by differences of 32 bits (of 64 if one is too large)."""
     gap = np.diff(low.astype(np.int64), prepend=0)
     wide = gap.max(initial=0) >= 1 << 32
-    return (b"w" if wide else b"d") + len(gap).to_bytes(4, "little") + gap.astype(np.int64 if wide else np.uint32).tobytes() + zlib.compress(n.astype(np.int64).tobytes(), 1)
+    return (b"w" if wide else b"d") + len(gap).to_bytes(4, "little") + gap.astype(np.int64 if wide else np.uint32).tobytes()
 
 
-def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _lows(b: bytes) -> tuple[np.ndarray, int]:
+    """The low bits, and where they end."""
     k, wide = int.from_bytes(b[1:5], "little"), b[:1] == b"w"
     end = 5 + k * (8 if wide else 4)
-    low = np.frombuffer(b[5:end], np.int64 if wide else np.uint32).astype(np.int64).cumsum()
+    return np.frombuffer(b[5:end], np.int64 if wide else np.uint32).astype(np.int64).cumsum(), end
+
+
+def _pack(low: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending low bits and counts."""
+    return _gaps(low) + zlib.compress(n.astype(np.int64).tobytes(), 1)
+
+
+def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low, end = _lows(b)
     return low, np.frombuffer(zlib.decompress(b[end:]), np.int64)
 
 
@@ -114,7 +125,7 @@ def _sums(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, n) with a task's counts, and (segment, packed) with those of its n-grams' hashes."""
+    """Rows (token, n) with a task's counts, and (segment, packed) with those of its bigrams' hashes."""
     schema = pa.schema([("token", pa.string()), ("n", pa.int64()), ("segment", pa.int32()), ("packed", pa.binary())])
     shift = np.uint64(64 - segments.bit_length() + 1)
     words, pairs, held = Counter(), [], 0
@@ -134,7 +145,6 @@ def _count(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.Reco
     def flush_words() -> Iterator[pa.RecordBatch]:
         keys, n = list(words), np.array(list(words.values()), np.int64)
         words.clear()
-        yield packed(*_sums(unigram(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)), n))
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8", "surrogatepass") for k in part], pa.string()), pa.array(n[at : at + 50_000]), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], schema=schema)
@@ -165,135 +175,187 @@ def _places(h: np.ndarray, level: int, k: int, size: np.ndarray | int) -> np.nda
     return ((x >> np.uint64(32)) * np.asarray(size, np.uint64)) >> np.uint64(32)
 
 
-def _fill(most: int):
-    """Packed counts of one segment -> its bits."""
+def _fill(most: int | None = None):
+    """Packed counts of one segment -> its bits (most at most, where it is given) and largest level."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_unpack(b) for b in table.column("packed").to_pylist()]
         low, n = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
         level = np.frexp(n.astype(np.float64))[1]  # 1 + floor(log2 n)
-        bits = int(max(64, min(most, BITS * int(level.sum()))) + 7) // 8 * 8
+        bits = BITS * int(level.sum())
+        bits = int(max(64, bits if most is None else min(most, bits)) + 7) // 8 * 8
+        top = int(level.max(initial=0))
         on = np.zeros(bits, bool)
         h = low.astype(np.uint64)
-        for q in range(1, int(level.max(initial=0)) + 1):
+        for q in range(1, top + 1):
             h = h[level >= q]
             level = level[level >= q]
             for k in range(HASHES):
                 on[_places(h, q, k, bits).astype(np.int64)] = True
-        return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary()), "top": pa.array([top], pa.int32())})
 
     return run
 
 
+def _levels(bits: np.ndarray, low: np.ndarray, begin: np.ndarray, size: np.ndarray, top: int) -> np.ndarray:
+    """Of each hash the members found one after the other, top at most; begin and size, in bits, are its segment's."""
+    level = np.zeros(len(low), np.int64)
+    at = np.flatnonzero(size > 0)
+    for q in range(1, top + 1):
+        for k in range(HASHES):
+            p = begin[at] + _places(low[at], q, k, size[at])
+            at = at[((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1) > 0]
+        if not len(at):
+            break
+        level[at] = q
+    return level
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts from 2 ** (level - 1) to 2 ** level - 1."""
+    return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
+
+
 class Filter:
     """The segments side by side; count(h) are the counts that the members found stand for."""
 
-    def __init__(self, segments: int, sizes: list[int], bits: bytes) -> None:
-        """sizes: bytes of each segment."""
-        self.shift = np.uint64(64 - segments.bit_length() + 1)
+    def __init__(self, segments: int, sizes: list[int], bits: bytes, top: int = 64) -> None:
+        """sizes: bytes of each segment; top: the largest level stored."""
+        self.shift, self.top = np.uint64(64 - segments.bit_length() + 1), top
         size = np.array(sizes, np.int64) * 8
         self.size, self.begin = size.astype(np.uint64), np.concatenate([[0], size.cumsum()[:-1]]).astype(np.uint64)
         self.bits = np.frombuffer(bits, np.uint8)
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        level = np.zeros(len(h), np.int64)
         segment = (h >> self.shift).astype(np.int64)
-        at, size, begin = np.arange(len(h)), self.size[segment], self.begin[segment]
-        low = _low(h, self.shift)
-        keep = size > 0
-        q = 0
-        while True:
-            at, size, begin, low = at[keep], size[keep], begin[keep], low[keep]
-            level[at] = q
-            if not len(at):
-                break
-            q += 1
-            keep = np.ones(len(at), bool)
-            for k in range(HASHES):
-                on = np.flatnonzero(keep)
-                if not len(on):
-                    break
-                p = begin[on] + _places(low[on], q, k, size[on])
-                keep[on] = (self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-        # the middle of the counts from 2 ** (q - 1) to 2 ** q - 1
-        return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
-
-
-class Scorer:
-    """Rows for the frequent tokens, then for others seen lately: base log probability (0 for others), hash, count."""
-
-    def __init__(self, model: dict) -> None:
-        self.f = Filter(model["segments"], model["sizes"], model["bits"])
-        self.n, self.v, self.ends = model["n"], model["v"], model["ends"]
-        self.frequent, c = model["tokens"], np.array(model["counts"], np.float64)
-        self.place = {t.encode(): k for k, t in enumerate(self.frequent)}
-        self.below = self.n + ADD * (self.v + 1)
-        self.c, self.h = c, np.array([xxhash.xxh3_64_intdigest(t.encode()) for t in self.frequent], np.uint64)
-        self.base = np.log10((c + ADD) / self.below)
-        self.kept, self.end_base = len(self.frequent), float(np.log10((self.ends + ADD) / self.below))
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        place = self.place
-        found = list(map(place.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, x in zip(words, found) if x is None))
-            h = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
-            place.update(zip(new, range(len(self.h), len(self.h) + len(new))))
-            self.h = np.concatenate([self.h, h])
-            self.c = np.concatenate([self.c, self.f.count(unigram(h))])
-            found = list(map(place.__getitem__, words))
-        return np.array(found, np.int64)
-
-    def trim(self) -> None:
-        if len(self.h) > self.kept + CACHED:
-            self.place = {t.encode(): k for k, t in enumerate(self.frequent)}
-            self.c, self.h = self.c[: self.kept], self.h[: self.kept]
-
-    def score(self, whole: list[str]) -> tuple[list, ...]:
-        """Of each text: tokens, known and base score so far (frequent tokens and the end), its other tokens and their counts, the model's score."""
-        self.trim()
-        each = [tokens(x) for x in whole]
-        sizes = np.array([len(w) for w in each])
-        row = self.rows([w for t in each for w in t])
-        often = row < self.kept
-        stop = sizes.cumsum()
-        text = np.repeat(np.arange(len(each)), sizes)
-        base = np.bincount(text[often], self.base[row[often]], len(each)) + self.end_base
-        known = np.bincount(text[often], minlength=len(each)) + (self.ends > 0)
-        others: list[tuple[list, list]] = []
-        flat = [w for t in each for w in t]
-        rare = np.flatnonzero(~often)
-        cut = np.searchsorted(rare, np.concatenate([[0], stop]))
-        for a, b in zip(cut[:-1], cut[1:]):
-            n = Counter(flat[k] for k in rare[a:b].tolist())
-            others.append(([w.decode("utf-8", "surrogatepass") for w in n], list(n.values())))
-        # a text's words and its end, and what stands before each
-        after = np.insert(self.h[row], stop, _END)
-        c = np.insert(self.c[row], stop, float(self.ends))
-        begin = np.concatenate([[0], (stop + np.arange(1, len(stop) + 1))[:-1]]).astype(np.int64)
-        before, c1 = np.roll(after, 1), np.roll(c, 1)
-        before[begin], c1[begin] = _END, float(self.ends)
-        c2 = np.minimum(self.f.count(bigram(before, after)), c1)
-        p0 = (c + ADD) / self.below
-        p = np.where(c1 > 0, WEIGHT * c2 / np.maximum(c1, 1.0) + (1 - WEIGHT) * p0, p0)
-        score = np.bincount(np.repeat(np.arange(len(each)), sizes + 1), np.log10(p), len(each))
-        return (sizes + 1).tolist(), known.tolist(), base.tolist(), [o[0] for o in others], [o[1] for o in others], score.tolist()
+        return _middle(_levels(self.bits, _low(h, self.shift), self.begin[segment], self.size[segment], self.top))
+
+
+class _Places(dict):
+    """Word -> its place in order of appearance; the end is the first."""
+
+    def __init__(self) -> None:
+        super().__init__({END: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        return at
+
+
+def _pairs(seq: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words before those of seq (texts of these sizes one after the other), and the bigrams' hashes."""
+    before = np.roll(seq, 1)
+    before[np.concatenate([[0], sizes.cumsum()[:-1]]).astype(np.int64)] = 0
+    return before, bigram(h[before], h[seq])
 
 
 _KEPT: dict = {}
 
 
-def _scorer(key: str, shared) -> Scorer:
+def _frequent(key: str, shared) -> dict[bytes, int]:
     if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = Scorer(shared.value)
+        _KEPT[key] = {t.encode("utf-8", "surrogatepass"): n for t, n in zip(*shared.value)}
     return _KEPT[key]
 
 
+#: Rows of documents, of chunks, and of a chunk's bigrams in a segment.
+_ASKED = "chunk long, n_tokens long, seq binary, hashes binary, counts binary, rare array<string>, segment int, packed binary"
+
+
+def _ask(batches: Iterator[pa.RecordBatch], schema: pa.Schema, segments: int, ends: int, frequent: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Documents with their tokens' places among a chunk's words; the chunk's words by hash and count (-1 for rare ones, which follow as words); and
+    its distinct bigrams by segment."""
+    task, shift = TaskContext.get().partitionId(), np.uint64(64 - segments.bit_length() + 1)
+    chunk, held = task << 32, 0
+    place, seqs, kept = _Places(), [], []
+
+    def rows(n: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * n, f.type) if f.name == "chunk" else pa.nulls(n, f.type) if f.name not in given else given[f.name] if isinstance(given[f.name], pa.Array) else pa.array(given[f.name], f.type) for f in schema], schema=schema)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        words, at = list(place), 0
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        c = np.array([ends, *(frequent.get(w, -1) for w in words[1:])], np.int64)
+        for part in kept:
+            own = seqs[at : at + part.num_rows]
+            at += part.num_rows
+            yield rows(part.num_rows, id=part.column(0), train=part.column(1), n_tokens=[len(x) for x in own], seq=[zlib.compress(x.tobytes(), 1) for x in own])
+        yield rows(1, hashes=[h.tobytes()], counts=[zlib.compress(c.tobytes(), 1)], rare=[[words[k].decode("utf-8", "surrogatepass") for k in np.flatnonzero(c < 0).tolist()]])
+        asked = np.unique(_pairs(np.concatenate(seqs), np.array([len(x) for x in seqs]), h)[1])
+        stop = np.searchsorted(asked >> shift, np.arange(segments + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(stop)).tolist()
+        yield rows(len(full), segment=full, packed=[_gaps(_low(asked[stop[k] : stop[k + 1]], shift)) for k in full])
+
+    for batch in batches:
+        at = 0
+        for i, x in enumerate(texts(batch, "t")):
+            w = tokens(x)
+            seqs.append(np.array([*map(place.__getitem__, w), 0], np.int32))
+            held += len(w) + 1
+            if held >= CHUNK or i + 1 == batch.num_rows:
+                kept.append(batch.select(["id", "train"]).slice(at, i + 1 - at))
+                at = i + 1
+            if held >= CHUNK:
+                yield from flush()
+                place, seqs, kept = _Places(), [], []
+                held, chunk = 0, chunk + 1
+    if held:
+        yield from flush()
+
+
+def _probe(filled: pa.Table, asked: pa.Table) -> pa.Table:
+    """A segment's filter (no row: it is empty) and the bigrams asked of it -> their levels."""
+    bits, top = (np.frombuffer(filled.column("bits")[0].as_py(), np.uint8), filled.column("top")[0].as_py()) if filled.num_rows else (np.zeros(0, np.uint8), 0)
+    lows = [_lows(b)[0].astype(np.uint64) for b in asked.column("packed").to_pylist()]
+    found = []
+    for low in lows:
+        level = _levels(bits, low, np.zeros(len(low), np.uint64), np.full(len(low), 8 * len(bits), np.uint64), top)
+        found.append(zlib.compress(level.astype(np.uint8).tobytes(), 1))
+    return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), "levels": pa.array(found, pa.binary())})
+
+
+def _finish(n: int, v: int):
+    """A chunk's documents and what is known of its words and bigrams -> their scores."""
+    below = n + ADD * (v + 1)
+
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        h = c = None
+        answers = {}
+        counts: list[dict] = []
+        for r in known.to_pylist():
+            if r["segment"] is not None:
+                answers[r["segment"]] = zlib.decompress(r["levels"])
+            elif r["hashes"] is not None:
+                h, c = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(zlib.decompress(r["counts"]), np.int64).copy()
+            else:
+                counts = r["found"]
+        rare = np.flatnonzero(c < 0)
+        c[rare] = 0
+        if counts:
+            c[rare[[x["pos"] for x in counts]]] = [x["c"] for x in counts]
+        c = c.astype(np.float64)
+        level = np.frombuffer(b"".join(answers[k] for k in sorted(answers)), np.uint8).astype(np.int64)
+        sizes = docs.column("n_tokens").to_numpy()
+        seq = np.frombuffer(b"".join(map(zlib.decompress, docs.column("seq").to_pylist())), np.int32)
+        before, pair = _pairs(seq, sizes, h)
+        distinct, which = np.unique(pair, return_inverse=True)
+        assert len(distinct) == len(level)
+        c1, c0 = c[before], c[seq]
+        c2 = np.minimum(np.minimum(_middle(level)[which], c1), c0)
+        p0 = (c0 + ADD) / below
+        p = np.where(c1 > 0, WEIGHT * c2 / np.maximum(c1, 1.0) + (1 - WEIGHT) * p0, p0)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        made = {"n_known": np.bincount(text[c0 > 0], minlength=len(sizes)).astype(np.int64), "base": np.bincount(text, np.log10(p0), len(sizes)), "score": np.bincount(text, np.log10(p), len(sizes))}
+        return pa.table({"id": docs.column("id"), "train": docs.column("train"), "n_tokens": docs.column("n_tokens")} | {k: pa.array(x) for k, x in made.items()})
+
+    return run
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "lm") -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col), F.col(text_col).alias("t"), trains("`" + id_col + "`").alias("train"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), trains("`" + id_col + "`").alias("train"))
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     segments = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, 1 << max(0, (chars - 1) // CHARS).bit_length()))
     counted = rows.where("train").select("t").mapInArrow(lambda it: _count(it, segments), "token string, n long, segment int, packed binary")
@@ -311,44 +373,23 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: s
         least = r["s"]
     often = (step >= F.lit(least)) if least is not None else F.lit(False)
     frequent = counts.where(often & (F.col("token") != END.decode())).select("token", "c").toArrow()  # FREQUENT rows at most
-    filled = counted.where("segment is not null").select("segment", "packed").groupBy("segment").applyInArrow(_fill(MOST_BITS // segments), "segment int, bits binary")
-    parts = {r["segment"]: bytes(r["bits"]) for r in filled.toLocalIterator()}  # MOST_BITS bits at most
-    sizes = [len(parts.get(k, b"")) for k in range(segments)]
-    bits = b"".join(parts.pop(k, b"") for k in range(segments))
-    model = {"segments": segments, "sizes": sizes, "bits": bits, "n": n, "v": v, "ends": ends, "tokens": frequent.column("token").to_pylist(), "counts": frequent.column("c").to_numpy()}
-    shared, key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
-    del model, parts, frequent, bits
-
-    def make():
-        scorer = _scorer(key, shared)
-
-        def run(batch):
-            whole, out = texts(batch, "t"), None
-            at = 0
-            while at < len(whole) or out is None:
-                part, size = [], 0
-                while at < len(whole) and size < 300_000:
-                    part.append(whole[at])
-                    size += len(whole[at])
-                    at += 1
-                got = scorer.score(part)
-                out = got if out is None else tuple(a + b for a, b in zip(out, got))
-            return out
-
-        return run
-
-    scored = map_rows(rows.withColumn("rid", F.monotonically_increasing_id()), make, fields("n_tokens long, known long, base double, rare array<string>, times array<bigint>, score double"), keep=["rid", id_col, "train"], needs=["t"])
-    scored = materialise(scored, f"{name}-scored")
-    rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("token"), F.col("x.times").alias("m"))
-    rest = rare.join(counts.where(~often), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rest = rest.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * F.log10((F.col("c") + ADD) / (n + ADD * (v + 1)))).alias("plus"))
-    out = scored.select("rid", id_col, "train", "n_tokens", "known", "base", "score").join(rest, "rid", "left")
-    return out.select(
-        id_col,
-        (~F.col("train")).alias("held_out"),
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("plus", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    filled = counted.where("segment is not null").select("segment", "packed").groupBy("segment").applyInArrow(_fill(), "segment int, bits binary, top int")
+    filled = materialise(filled, f"{name}-filter")
+    for path in {x.rsplit("/", 1)[0] for x in counted.inputFiles()}:  # all that is read of it is stored anew
+        remove(spark, path)
+    shared, key = spark.sparkContext.broadcast((frequent.column("token").to_pylist(), frequent.column("c").to_pylist())), uuid.uuid4().hex
+    del frequent
+
+    made = T.StructType([rows.schema["id"], rows.schema["train"], *T.StructType.fromDDL(_ASKED)])
+    schema = pa.schema([("id", to_arrow_type(made["id"].dataType)), *[(f.name, arrow_type(f.dataType)) for f in made.fields[1:]]])
+    asked = rows.mapInArrow(lambda it: _ask(it, schema, segments, ends, _frequent(key, shared)), made)
+    asked = materialise(asked, f"{name}-asked")
+    answers = filled.groupBy("segment").cogroup(asked.where("segment is not null").select("chunk", "segment", "packed").groupBy("segment")).applyInArrow(_probe, "chunk long, segment int, levels binary")
+    chunks = asked.where("hashes is not null")
+    rare = chunks.select("chunk", F.posexplode("rare").alias("pos", "token")).join(counts.where(~often), "token")
+    rare = rare.groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
+    known = answers.unionByName(chunks.select("chunk", "hashes", "counts"), allowMissingColumns=True).unionByName(rare, allowMissingColumns=True)
+    docs = asked.where("seq is not null").select("chunk", "id", "train", "n_tokens", "seq")
+    scored = T.StructType([*made.fields[:2], *T.StructType.fromDDL("n_tokens long, n_known long, base double, score double")])
+    out = docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_finish(n, v), scored)
+    return out.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -150,6 +150,32 @@ def test_filter_never_undercounts():
     assert (f.count(other) > 0).mean() < 0.1
 
 
+def test_lm_error_does_not_grow(spark, monkeypatch):
+    # a filter that all segments share is much too small here
+    monkeypatch.setattr(lm, "MOST_BITS", 1 << 12, raising=False)
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    monkeypatch.setattr(lm, "CHUNK", 3_000, raising=False)
+    r = random.Random(9)
+    rows = [(k, " ".join(f"w{r.randrange(3000)}" for _ in range(r.randrange(120))), "s") for k in range(300)]
+    got = {x.doc_id: x.score for x in lm.score(docs(spark, rows)).collect()}
+    c, pairs, seqs = Counter(), Counter(), {k: [" ", *t.split(), " "] for k, t, _ in rows}
+    for k, s in seqs.items():
+        if zlib.crc32(str(k).encode()) % 10:
+            c.update(s[1:])
+            pairs.update(zip(s, s[1:]))
+    below, over, total = sum(c.values()) + 0.1 * (len(c) + 1), 0.0, 0
+    for k, s in seqs.items():
+        want = 0.0
+        for v, w in zip(s, s[1:]):
+            n = pairs[v, w]
+            n = min(1.5 * 2.0 ** (n.bit_length() - 1) - 0.5 if n else 0, c[v], c[w])
+            p0 = (c[w] + 0.1) / below
+            want += math.log10(0.7 * n / c[v] + 0.3 * p0 if c[v] else p0)
+        assert got[k] >= want - 1e-9 * len(s)  # never an undercount
+        over, total = over + got[k] - want, total + len(s) - 1
+    assert over / total < 0.1
+
+
 # ---- mixing ----
 
 
