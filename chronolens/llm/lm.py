@@ -36,7 +36,7 @@ from .common import ROWS_PER_CALL, arrow_type, materialise, texts
 from .common import _remove as remove
 from .near_dup import mix
 
-FREQUENT, BITS, HASHES, WEIGHT, ADD = 250_000, 6, 4, 0.7, 0.1
+FREQUENT, BITS, HASHES, WEIGHT, ADD = 400_000, 8, 4, 0.7, 0.1
 #: Characters of text for each segment of the filter (a power of two of them, between the two bounds), bigrams (and a third as
 #: many distinct words) a task holds before it hands their counts on, words a worker keeps hashes of, and tokens scored at once.
 CHARS, LEAST_SEGMENTS, MOST_SEGMENTS, HELD, CACHED, CHUNK = 1 << 23, 64, 1 << 24, 1_000_000, 150_000, 1_500_000
