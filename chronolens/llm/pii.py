@@ -2,9 +2,10 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers by fixed patterns. Each distinct value is a protected entity.
 Document co-occurrence over the whole corpus then says how strongly a term reveals an entity: the share of the entity's information
--log2(n_entity / N) that their pointwise mutual information log2(N n_both / (n_entity n_term)) makes up, 1 if the term is found beside the entity
-only. In documents that hold the entity, terms that occur with it in MIN_DOCS documents or more are generalised from a share of GENERALISE on
-and removed from REMOVE on. Terms are runs of MIN_LETTERS letters or more, in lower case, outside e-mail addresses.
+-log2(n_entity / N) that their pointwise mutual information makes up, about 1 if the term is found beside the entity only. The information is that of
+counts smoothed by SMOOTH documents in which the term stands beside the entity as often as by chance, log2(N n / (n_entity (n_term + SMOOTH))) with
+n = n_both + SMOOTH n_entity / N, so that terms seen seldom count for less; entities of one document and terms of one are weighed like all others. In
+documents that hold the entity, its terms are generalised from a share of GENERALISE on and removed from REMOVE on. Terms are runs of MIN_LETTERS letters or more, in lower case, outside e-mail addresses.
 
 Null texts count as empty and have no spans. Spans are in code points, end exclusive. Rows with equal texts get equal spans; every row is a
 document of the counts, copies too. Texts of any length are searched whole in time about proportional to their length. An empty table gives an
@@ -15,12 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, without
 
-MIN_DOCS, MIN_LETTERS, GENERALISE, REMOVE = 3, 4, 0.85, 0.95
+SMOOTH, MIN_LETTERS, GENERALISE, REMOVE = 0.5, 4, 0.85, 0.95
 
 # The patterns, in the order of the kinds. Possessive repeats and the looks behind change no match; they bound the search.
 KINDS = ["email", "ip", "card", "phone"]
@@ -97,12 +98,11 @@ def find(df: DataFrame, text_col: str = "text", keep: Sequence[str] | None = Non
     private = materialise(found.where(holds).withColumn("_pii_row", F.monotonically_increasing_id()), f"{name}-private")
     terms = _revealing(private, rows, name)
 
-    own = private.join(terms, "_pii_row", "left")
-    none = F.array().cast(_SPANS)
-    hits = F.when(F.col("_pii_terms").isNotNull(), _located(t, r"\p{L}+", lambda m, at: F.array_contains(F.map_keys("_pii_terms"), F.lower(m)) & ~F.exists("_pii_email", lambda s: (s["start"] <= at) & (at < s["end"])))).otherwise(none)
+    own = private.join(_term_places(private, terms), "_pii_row", "left")
+    inside = lambda s: F.exists("_pii_email", lambda e: (e["start"] <= s["start"]) & (s["start"] < e["end"]))
+    hits = F.filter(F.coalesce("_pii_hits", F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda s: ~inside(s))
     own = own.withColumn("_pii_hits", hits)
-    strong = lambda s: F.col("_pii_terms")[F.lower(t.substr(s["start"] + 1, s["end"] - s["start"]))] >= REMOVE
-    own = own.select("*", F.filter("_pii_hits", lambda s: ~strong(s)).alias("_pii_generalised"), F.filter("_pii_hits", strong).alias("_pii_removed"))
+    own = own.select("*", F.filter("_pii_hits", lambda s: s["share"] < REMOVE).alias("_pii_generalised"), F.filter("_pii_hits", lambda s: s["share"] >= REMOVE).alias("_pii_removed"))
     kinds = [*KINDS, *ADDED]
     spans = F.concat(*[F.transform(f"_pii_{k}", _named(k)) for k in kinds])
     out = [*[f"`{c}`" for c in rest]]
@@ -120,22 +120,36 @@ def _value(text: Column, kind: str):
 
 
 def _revealing(private: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """_pii_row -> _pii_terms map<term, the largest share of an entity of that row that the term reveals>, of rows that have such terms."""
+    """_pii_row, term, share: the largest share of an entity of that row that the term reveals, of terms that reveal enough."""
     t = F.col("_pii_text")
     values = [F.transform(f"_pii_{k}", _value(t, k)) for k in KINDS]
     entities = private.select("_pii_row", _terms(t).alias("terms"), F.explode(F.array_distinct(F.concat(*values))).alias("entity"))
     # the empty term stands for the entity itself
     beside = entities.select("_pii_row", "entity", F.explode(F.concat(F.array(F.lit("")), F.filter("terms", lambda x: F.length(x) >= MIN_LETTERS))).alias("term"))
-    pairs = materialise(beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= MIN_DOCS), f"{name}-pairs")
+    pairs = materialise(beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")), f"{name}-pairs")
     words = rows.select(F.explode(_terms(t)).alias("term")).where(F.length("term") >= MIN_LETTERS)
     known = materialise(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), f"{name}-terms")
     n = float(rows.count())
     entity = pairs.where(F.col("term") == "").select("entity", F.col("n_both").alias("n_entity"))
-    share = F.log2(F.lit(n) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(n) / F.col("n_entity"))
+    both = F.col("n_both") + SMOOTH * F.col("n_entity") / n
+    share = F.log2(n * both / (F.col("n_entity") * (F.col("n_term") + SMOOTH))) / F.log2(n / F.col("n_entity"))
     strong = pairs.where(F.col("term") != "").join(known, "term").join(entity, "entity").where(F.col("n_entity") < n).withColumn("share", share)
     strong = materialise(strong.where(F.col("share") >= GENERALISE).select("entity", "term", "share"), f"{name}-strong")
-    hit = beside.join(strong, ["entity", "term"]).groupBy("_pii_row", "term").agg(F.max("share").alias("share"))
-    return hit.groupBy("_pii_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_pii_terms"))
+    return beside.join(strong, ["entity", "term"]).groupBy("_pii_row", "term").agg(F.max("share").alias("share"))
+
+
+def _term_places(private: DataFrame, terms: DataFrame) -> DataFrame:
+    """_pii_row -> _pii_hits array<struct<start,end,share>>: where its revealing terms stand, by start. Sorts and joins, so that a long text with
+    many of them takes no more than its share."""
+    t = F.col("_pii_text")
+    both = F.arrays_zip(F.split(t, r"\p{L}+", -1).alias("gap"), F.regexp_extract_all(t, F.lit(r"\p{L}+"), F.lit(0)).alias("m"))
+    runs = private.select("_pii_row", F.posexplode(both).alias("i", "x"))
+    m = F.length("x.m")
+    end = F.sum(F.length("x.gap") + F.coalesce(m, F.lit(0))).over(Window.partitionBy("_pii_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    runs = runs.select("_pii_row", F.lower("x.m").alias("term"), end.cast("int").alias("end"), m.alias("m"))
+    hits = runs.where(F.length("term") >= MIN_LETTERS).join(terms, ["_pii_row", "term"])
+    place = F.struct((F.col("end") - F.col("m")).alias("start"), "end", "share")
+    return hits.groupBy("_pii_row").agg(F.sort_array(F.collect_list(place)).alias("_pii_hits"))
 
 
 def joined(spans: Column) -> Column:

@@ -182,6 +182,14 @@ def test_pii_terms(spark):
     assert pii.sanitise(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_pii_terms_of_rare_entities(spark):
+    texts = ["plain words with zorblax and rest a@x.org", "plain words with rest", "once quuxly b@x.org rest", "again Quuxly b@x.org rest"] + [f"plain words with rest {'once again' * (k % 2)}" for k in range(60)]
+    out = {r.doc_id: r.spans for r in pii.find(frame(spark, texts), keep=["doc_id"]).collect()}
+    added = [{texts[k][s.start : s.end] for s in out[k] if s.kind in pii.ADDED} for k in range(4)]
+    assert "zorblax" in added[0] and not {"plain", "words", "with", "rest"} & set().union(*added)
+    assert "quuxly" in added[2] and "Quuxly" in added[3] and not added[1]
+
+
 # ---- pages ----
 
 
