@@ -162,8 +162,8 @@ def of_kind(spans: Column, kinds: Sequence[str]) -> Column:
 
 
 def sanitise(df: DataFrame, text_col: str = "text", name: str = "pii") -> DataFrame:
-    """The same columns, with every span of text_col replaced by its kind's mark; of overlapping spans the first, and the longer of two that begin
-    together, counts. A null text stays null."""
+    """The same columns, with every span of text_col replaced by its kind's mark; where spans overlap, the first is replaced whole, the longer of
+    two that begin together, and then what others have beyond its end. A null text stays null."""
     found = find(df.select("*", F.col(text_col).alias("_pii_was")), text_col, name=name)
     t = F.col("_pii_was")
     order = F.array_sort(F.col("spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
@@ -171,8 +171,8 @@ def sanitise(df: DataFrame, text_col: str = "text", name: str = "pii") -> DataFr
 
     def step(acc: Column, s: Column) -> Column:
         # the parts are joined once at the end
-        part = F.concat(t.substr(acc["at"] + 1, s["start"] - acc["at"]), mark(s))
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts")))
+        part = F.concat(t.substr(acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), mark(s))
+        return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts")))
 
     done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step, lambda acc: F.concat(F.array_join(acc["parts"], ""), t.substr(acc["at"] + 1, F.length(t))))
     new = F.when(F.size("spans") == 0, t).otherwise(done)

@@ -182,6 +182,11 @@ def test_pii_terms(spark):
     assert pii.sanitise(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_pii_overlapping_spans(spark):
+    out = {r.doc_id: r.text for r in pii.sanitise(frame(spark, ["at 10.0.0.0 4111 1111 1111 1111 end", "x"])).collect()}
+    assert "[IP][CARD]" in out[0] and "1111" not in out[0] and out[1] == "x"
+
+
 def test_pii_terms_of_rare_entities(spark):
     texts = ["plain words with zorblax and rest a@x.org", "plain words with rest", "once quuxly b@x.org rest", "again Quuxly b@x.org rest"] + [f"plain words with rest {'once again' * (k % 2)}" for k in range(60)]
     out = {r.doc_id: r.spans for r in pii.find(frame(spark, texts), keep=["doc_id"]).collect()}
