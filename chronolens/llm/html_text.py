@@ -30,6 +30,7 @@ PAGES, TREES, DEPTH, RATE, BINS, MIXED, SEED = 500, 50, 4, 0.3, 32, 1.0, 11
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template svg iframe object select textarea button math canvas audio video head title".split())
+TO_THE_END = set("script style textarea title iframe".split())  # these hold raw text up to the end of the page where no end tag follows
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 # Groups of tokens in class, id and role attributes.
@@ -63,6 +64,7 @@ class Tree:
         self.parent, self.tag, self.groups, self.depth = [-1], ["html"], [0], [0]
         self.texts: list[tuple[int, str | None]] = []
         stack, pos, out = [0], 0, self.texts
+        hidden, unclosed = [False], set()
         tag = self.tag
         while pos < len(page):
             m = _TOKEN.search(page, pos)
@@ -72,12 +74,14 @@ class Tree:
                     out.append((stack[-1], part))
                 elif part:
                     out.append((stack[-1], " "))
+                if hidden[stack[-1]] and part:
+                    out.pop()
                 if m is None:
                     break
             pos = m.end()
             name = (m[2] or m[5] or "").lower()
             if not name:
-                if m.group().startswith("<![CDATA["):
+                if m.group().startswith("<![CDATA[") and not hidden[stack[-1]]:
                     out.append((stack[-1], m.group()[9:].removesuffix("]]>")))
                 continue
             block = name in BLOCKS
@@ -98,9 +102,14 @@ class Tree:
                 if not attrs.endswith("/") or name not in ("svg", "math"):
                     if name == "head":
                         continue
-                    end = _RAW_END[name].search(page, pos)
-                    pos = end.end() if end else len(page)
-                continue
+                    end = None if name in unclosed else _RAW_END[name].search(page, pos)
+                    if end or name in TO_THE_END:
+                        pos = end.end() if end else len(page)
+                        continue
+                    # without an end tag an element like others, whose texts don't count
+                    unclosed.add(name)
+                else:
+                    continue
             if block:
                 for k in range(len(stack) - 1, 0, -1):
                     if tag[stack[k]] == "p":
@@ -125,6 +134,7 @@ class Tree:
                             groups |= 1 << _GROUP_OF[t]
             self.parent.append(stack[-1])
             tag.append(name)
+            hidden.append(hidden[stack[-1]] or name in RAW)
             self.groups.append(groups)
             self.depth.append(self.depth[stack[-1]] + 1)
             stack.append(len(tag) - 1)

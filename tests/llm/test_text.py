@@ -208,6 +208,13 @@ def test_html(spark):
     assert got[0].text == got[1].text == "" and got[9].text == got[10].text and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_unclosed_elements():
+    for t in ("button", "video", "svg", "select", "noscript"):
+        texts = [x for _, x in html_text.Tree(f"<article><p>One <{t}>hidden</p><p>Two</p></article>").texts if x]
+        assert texts == ["One ", "Two"]
+    assert [x for _, x in html_text.Tree("<p>One</p><script>x<p>Two</p>").texts if x] == ["One"]
+
+
 def test_html_held_out_pages():
     model, make, exact = html_text.fit(), html_text._Pages(77), 0
     mark = html_text._Pages.MARK
