@@ -2,7 +2,9 @@
 
 The index holds blocks of up to BLOCK vectors. In each block and dimension the components fall into LEVELS steps of equal width; the rows of a step
 are a posting segment. For a query, a segment's quantised impact is what its step adds to the score over the least that the dimension can give;
-segments are processed by descending impact. A row's score so far is a lower bound, and adding the largest impact that each dimension still has,
+segments of at least half the largest impact are processed by descending impact. If the bounds don't stop there, all lower impacts are swept densely, by
+each dimension's step codes: on the 2,000 vectors of sf0.1 the reviewer found every row still possible after the first step for each of 10 queries, so
+there each query is a quantised scan of all rows and a rescoring of about 16. A row's score so far is a lower bound, and adding the largest impact that each dimension still has,
 and the width of a step, gives an upper one. Processing stops only when at most FEW rows have upper bounds that reach the k-th best lower bound or
 the k-th best score known of the query; these rows are scored exactly. Ties at the k-th place are all rescored, so the smaller id wins.
 
