@@ -58,7 +58,7 @@ QUARTERS = "q AS (SELECT DISTINCT date_trunc('quarter', o_orderdate)::TIMESTAMP
 def causal_mask_counts(spark, sf_dir):
     """Rows and values known at each quarter's start: growing counts over months, read at each quarter's latest month."""
     a, _ = panels.segments(spark, sf_dir)
-    return causal.prefix_join(_quarters(spark, sf_dir), a).groupBy("t").agg(F.count(F.lit(1)).alias("n_rows"), F.count("ret").alias("n_values"))
+    return causal.growing(_quarters(spark, sf_dir), a, {"n_rows": F.count(F.lit(1)), "n_values": F.count("ret")})
 
 
 @_query(_with(SEG) + " SELECT DISTINCT a.ts AS t, (SELECT count(*) FROM a b WHERE b.ts <= a.ts)::BIGINT AS n_rows FROM a")
@@ -91,10 +91,7 @@ def _segment_names(spark, sf_dir) -> list[str]:
 def asof_cross_section(spark, sf_dir):
     """The latest month known at each quarter's start, by segment: an as-of lookup without a range join."""
     a, _ = panels.segments(spark, sf_dir)
-    times = _quarters(spark, sf_dir).select(F.col("t").alias("ts"), F.col("t")).unionByName(a.select("ts").distinct().withColumn("t", F.lit(None).cast("timestamp_ntz")))
-    w = Window.orderBy("ts", F.col("t").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    latest = times.withColumn("last", F.last(F.when(F.col("t").isNull(), F.col("ts")), ignorenulls=True).over(w)).where("t is not null").select("t", F.col("last").alias("ts"))
-    return latest.join(a, "ts").select("t", "asset", _r(F.col("ret")).alias("ret"))
+    return causal.asof_dates(_quarters(spark, sf_dir), a).select("t", "asset", _r(F.col("ret")).alias("ret"))
 
 
 @_query(_with(SEG) + ", k AS (SELECT *, dense_rank() OVER (ORDER BY ts DESC) AS place FROM a) SELECT ts, asset, round(ret, 6) + 0.0 AS ret FROM k WHERE place <= 2")
@@ -107,9 +104,7 @@ def last_two_dates(spark, sf_dir):
 def asof_window_result(spark, sf_dir):
     """Each quarter's last two known months: the as-of time beside the row's own date."""
     a, _ = panels.segments(spark, sf_dir)
-    known = causal.prefix_join(_quarters(spark, sf_dir), a)
-    w = Window.partitionBy("t").orderBy(F.col("ts").desc())
-    return known.withColumn("place", F.dense_rank().over(w)).where("place <= 2").select("t", "ts", "asset", _r(F.col("ret")).alias("ret"))
+    return causal.asof_dates(_quarters(spark, sf_dir), a, 2).select("t", "ts", "asset", _r(F.col("ret")).alias("ret"))
 
 
 @_query(_with(SEG) + ", y AS (SELECT DISTINCT date_trunc('year', ts)::TIMESTAMP AS t FROM a) SELECT t, count(ret)::BIGINT AS n, round(avg(ret), 6) + 0.0 AS mean FROM y JOIN a ON ts <= t GROUP BY t")
@@ -267,7 +262,14 @@ def parallel_huber_betas(spark, sf_dir):
     return out.select("factor", "asset", _r(F.col("beta")).alias("beta"))
 
 
-@_query(None)
+_TWO = """nx AS (SELECT ts FROM f WHERE ts IN (SELECT ts FROM a WHERE asset = 'BUILDING') AND ts IN (SELECT ts FROM a WHERE asset = 'MACHINERY')),
+    a3 AS (SELECT a.* FROM a JOIN nx USING (ts) WHERE asset <> 'BUILDING'), f1 AS (SELECT f.* FROM f JOIN nx USING (ts)), f2 AS (SELECT ts, ret FROM a JOIN nx USING (ts) WHERE asset = 'BUILDING'),
+    tt AS (SELECT max(ts) AS t FROM nx)"""
+
+
+@_query(_with(SEG, _TWO, panels.huber_sql(HALF_LIFE, LEAST, "tt", ("f1", "f2"), "a3")) + """
+    SELECT factor, n.asset, round(CASE factor WHEN 'MKT' THEN beta ELSE beta2 END, 6) + 0.0 AS beta
+    FROM (SELECT DISTINCT asset FROM a3) n CROSS JOIN (VALUES ('MKT'), ('BLD')) k(factor) LEFT JOIN betas USING (asset)""")
 def huber_betas_two_factors(spark, sf_dir):
     """Segments on two factors: the market and one segment."""
     a, f = panels.segments(spark, sf_dir)
@@ -277,15 +279,16 @@ def huber_betas_two_factors(spark, sf_dir):
     return out.select("factor", "asset", _r(F.col("beta")).alias("beta"))
 
 
-@_query(_with(SEG) + ", d AS (SELECT a.asset, a.ret AS y, f.ret AS x FROM a JOIN f USING (ts) WHERE a.ret IS NOT NULL AND f.ret IS NOT NULL) SELECT asset, count(*)::BIGINT AS n FROM d GROUP BY asset")
+@_query(_with(SEG, _LAST, panels.huber_sql(None, 1, "tt")) + ", n AS (SELECT asset, count(*)::BIGINT AS n FROM d GROUP BY asset) SELECT asset, n, round(alpha, 6) + 0.0 AS alpha, round(beta, 6) + 0.0 AS beta FROM n JOIN betas USING (asset)")
 def huber_udaf_rows(spark, sf_dir):
-    """The fit as a grouped aggregate: the rows it takes, where it gives a constant and one coefficient."""
+    """The fit as a grouped aggregate, unweighted: the rows it takes, its constant and its coefficient."""
     from .functions.huber import huber_udaf
 
     a, f = panels.segments(spark, sf_dir)
     both = a.join(f.select("ts", F.col("ret").alias("x")), "ts").where(is_finite("ret") & is_finite("x"))
     fits = both.groupBy("asset").agg(huber_udaf()(F.col("ret"), F.array(F.lit(1.0), F.col("x"))).alias("b"))
-    return both.groupBy("asset").agg(F.count(F.lit(1)).alias("n")).join(fits.where(F.size("b") == 2).select("asset"), "asset")
+    n = both.groupBy("asset").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(fits.where(F.size("b") == 2), "asset").select("asset", "n", _r(F.col("b")[0]).alias("alpha"), _r(F.col("b")[1]).alias("beta"))
 
 
 def _pit(spark, sf_dir, unit="month", **more):
@@ -297,13 +300,14 @@ def _pit(spark, sf_dir, unit="month", **more):
 _EVERY = "tt AS (SELECT DISTINCT ts AS t FROM f)"
 
 
-def _chain(times: str) -> str:
-    return ", ".join([panels.huber_sql(HALF_LIFE, LEAST, times), """
-        grid AS (SELECT ts, asset FROM (SELECT DISTINCT ts FROM f) CROSS JOIN (SELECT DISTINCT asset FROM a)),
-        pb AS (SELECT g.ts, g.asset, last_value(b.beta IGNORE NULLS) OVER (PARTITION BY g.asset ORDER BY g.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS beta
-               FROM grid g LEFT JOIN betas b ON b.t = g.ts AND b.asset = g.asset),
-        ph AS (SELECT pb.ts, pb.asset, -lag(pb.beta) OVER (PARTITION BY pb.asset ORDER BY pb.ts) * f.ret AS hedge FROM pb JOIN f USING (ts)),
-        pr AS (SELECT ph.ts, ph.asset, a.ret + ph.hedge AS resid FROM ph LEFT JOIN a ON a.ts = ph.ts AND a.asset = ph.asset)"""])
+def _chain(times: str, a: str = "a", f: str = "f", p: str = "", own_factor: bool = False) -> str:
+    on = f"{f}.ts = {p}pb.ts" + f" AND {f}.asset = {p}pb.asset" * own_factor
+    return ", ".join([panels.huber_sql(HALF_LIFE, LEAST, times, (f,), a, p, own_factor), f"""
+        {p}grid AS (SELECT ts, asset FROM (SELECT DISTINCT ts FROM {f}) CROSS JOIN (SELECT DISTINCT asset FROM {a})),
+        {p}pb AS (SELECT g.ts, g.asset, last_value(b.beta IGNORE NULLS) OVER (PARTITION BY g.asset ORDER BY g.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS beta
+               FROM {p}grid g LEFT JOIN {p}betas b ON b.t = g.ts AND b.asset = g.asset),
+        {p}ph AS (SELECT {p}pb.ts, {p}pb.asset, -lag({p}pb.beta) OVER (PARTITION BY {p}pb.asset ORDER BY {p}pb.ts) * {f}.ret AS hedge FROM {p}pb JOIN {f} ON {on}),
+        {p}pr AS (SELECT {p}ph.ts, {p}ph.asset, {a}.ret + {p}ph.hedge AS resid FROM {p}ph LEFT JOIN {a} ON {a}.ts = {p}ph.ts AND {a}.asset = {p}ph.asset)"""])
 
 
 _PIT = _with(SEG, _EVERY, _chain("tt"))
@@ -408,11 +412,21 @@ def variance_shares(spark, sf_dir):
     return returns.variance_shares(_full_rows(spark, sf_dir), SEGMENTS, "AUTOMOBILE").select("component", _r(F.col("share")).alias("share"))
 
 
-@_query(None)
+_SECTORS = [("AUTOMOBILE", "MACHINERY"), ("BUILDING", "HOUSEHOLD"), ("FURNITURE", "HOUSEHOLD")]
+_STAGE_TWO = """sec(stock, sector) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in _SECTORS) + """),
+    l AS (SELECT ts, asset, resid AS ret FROM pr WHERE ts IN (SELECT ts FROM pr WHERE resid IS NOT NULL)),
+    a2 AS (SELECT ts, stock AS asset, ret FROM l JOIN sec ON asset = stock), f2 AS (SELECT ts, stock AS asset, ret FROM l JOIN sec ON asset = sector),
+    t2 AS (SELECT DISTINCT ts AS t FROM a2)"""
+
+
+@_query(_with(SEG, _EVERY, _chain("tt"), _STAGE_TWO, _chain("t2", "a2", "f2", "z", True)) + """
+    SELECT a.ts, stock, round(a.ret, 6) + 0.0 AS total, round(-ph.hedge, 6) + 0.0 AS market, round(-zph.hedge, 6) + 0.0 AS sector, round(zpr.resid, 6) + 0.0 AS residual
+    FROM a JOIN sec ON asset = stock JOIN ph ON ph.ts = a.ts AND ph.asset = stock JOIN zph ON zph.ts = a.ts AND zph.asset = stock JOIN zpr ON zpr.ts = a.ts AND zpr.asset = stock
+    WHERE a.ret IS NOT NULL AND ph.hedge IS NOT NULL AND zph.hedge IS NOT NULL AND zpr.resid IS NOT NULL""")
 def two_stage_resids(spark, sf_dir):
     """Segments against the market, then three segments' residuals against two others', all in one job."""
     a, f = panels.segments(spark, sf_dir)
     rets = a.unionByName(f.select("ts", F.lit("MKT").alias("asset"), "ret"))
-    pairs = spark.createDataFrame([("AUTOMOBILE", "MACHINERY"), ("BUILDING", "HOUSEHOLD"), ("FURNITURE", "HOUSEHOLD")], "stock string, sector string")
+    pairs = spark.createDataFrame(_SECTORS, "stock string, sector string")
     out = two_stage(rets, "MKT", pairs, half_life=HALF_LIFE, min_timestamps=LEAST)["components"]
     return out.select("ts", "stock", *[_r(F.col(c)).alias(c) for c in ("total", "market", "sector", "residual")])

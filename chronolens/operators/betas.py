@@ -6,6 +6,7 @@ its own factors. One asset's history is fitted for a block of windows at once, s
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,10 +20,13 @@ from ..functions.weights import decay
 from ..sources.shared import checkpointed
 from .checks import require_panel
 
+_LOG = logging.getLogger(__name__)
+
 #: Sample variance below which a factor counts as flat.
 FLAT = 1e-10
 
 #: States of a window, in the order in which they are tested.
+PERFECT, FIT_ERROR = "perfect_fit", "fit_error"
 OK, NO_DATA, INCOMPLETE, NO_ASSETS, FLAT_FACTOR, FEW_ROWS, FLAT_WINDOW = "ok", "no_data", "incomplete_factors", "no_assets", "flat_factor", "few_rows", "flat_window"
 
 
@@ -81,60 +85,73 @@ def check_windows(states: DataFrame, half_life: float | None, lambda_: float | N
     return OK in at
 
 
-def fit_states(assets: DataFrame, rows: DataFrame, states: DataFrame, names: Sequence[str], order: str, by: str, half_life: float | None, lambda_: float | None, min_timestamps: int, blocks: int | None = None) -> DataFrame:
-    """(by, t, factor, asset, beta) of the windows that are ok: an asset's usable rows meet its windows in one group for each block of windows."""
+def small_side(df: DataFrame, single: bool) -> DataFrame:
+    """One group's calendar table (a row a time, or a time and factor) goes to all tasks; those of many groups together are as large as a panel."""
+    return F.broadcast(df) if single else df
+
+
+def fit_states(assets: DataFrame, rows: DataFrame, states: DataFrame, names: Sequence[str], order: str, by: str, half_life: float | None, lambda_: float | None, min_timestamps: int, blocks: int | None = None, single: bool = False, n_jobs: int = -1) -> DataFrame:
+    """(by, t, factor, asset, beta, fit) of the windows that are ok and have rows enough: an asset's usable rows meet its windows in one group for each block
+    of windows. single: there is one group. n_jobs > 0: the partitions that fit. fit: how each went, OK, PERFECT or FIT_ERROR (then beta is NULL)."""
     names = list(names)
     lam = decay(half_life, lambda_)
-    usable = assets.where(is_finite("ret")).join(rows.where("complete"), [by, order]).select(by, "asset", F.col("ret").alias("y"), "x", "pos")
+    usable = assets.where(is_finite("ret")).join(small_side(rows.where("complete"), single), [by, order]).select(by, "asset", F.col("ret").alias("y"), "x", "pos")
     who = assets.select(by, "asset").distinct()
+    pin_threads(assets.sparkSession)
     if blocks is None:
         # as many groups as keep all cores busy, each at the price of one more copy of the history
         blocks = max(1, min(16, -(-2 * assets.sparkSession.sparkContext.defaultParallelism // max(1, who.count()))))
     block = F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int") if blocks > 1 else F.lit(0)
-    windows = states.where(F.col("state") == OK).select(by, "t", "n", block.alias("block")).join(who, by)
+    windows = who.join(small_side(states.where(F.col("state") == OK).select(by, "t", "n", block.alias("block")), single), by)
     # new attributes: both sides of the cogroup come from the same table
-    windows = windows.select(*[F.col(c).alias(c) for c in windows.columns])
+    windows = windows.select(*[F.col(c).alias(c) for c in (by, "t", "n", "block", "asset")])
     history = usable.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else usable.withColumn("block", F.lit(0))
+    if n_jobs > 0:
+        history, windows = (x.repartition(n_jobs, by, "asset", "block") for x in (history, windows))
 
     def fit(h: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        out, kind_of_t = {"t": [], "factor": [], "asset": [], "beta": []}, w["t"].dtype
+        times, betas, fits = w["t"].iloc[:0], np.zeros((0, len(names))), np.zeros(0, object)
         if len(h) and len(w):
             h, w = h.sort_values("pos"), w.sort_values("t")
             pos, y = h["pos"].to_numpy(), h["y"].to_numpy(np.float64)
             x = np.column_stack([np.ones(len(h)), np.stack(h["x"].to_list()).astype(np.float64)])
-            n = w["n"].to_numpy()
-            w = w[(pos[None, :] <= n[:, None]).sum(1) >= min_timestamps] if len(w) * len(pos) < 5_000_000 else w[np.searchsorted(pos, n, "right") >= min_timestamps]
-            n = w["n"].to_numpy()
+            w = w[np.searchsorted(pos, w["n"].to_numpy(), "right") >= min_timestamps]
+            n, parts = w["n"].to_numpy(), []
             norm = np.cumsum(lam ** np.arange(n.max() if len(n) else 1))
             step = max(1, 1_000_000 // len(h))
             for a in range(0, len(w), step):
                 m = n[a : a + step, None]
                 inside = pos[None, :] <= m
                 sw = np.sqrt(np.where(inside, lam ** np.maximum(0, m - pos), 0.0) / norm[m - 1])
-                b = _betas(y, x, sw, inside)
-                for t, row in zip(w["t"].iloc[a : a + step], b):
-                    for name, v in zip(names, row[1:]):
-                        out["t"].append(t)
-                        out["factor"].append(name)
-                        out["asset"].append(h["asset"].iloc[0])
-                        out["beta"].append(v if np.isfinite(v) else None)
-        made = pd.DataFrame(out)
-        made = made.astype({"t": kind_of_t, "factor": object, "asset": object, "beta": "Float64"})
-        made.insert(0, by, pd.Series([h[by].iloc[0]] * len(made) if len(made) else [], dtype=object))
-        return made
-
-    kind = f"{by} string, t {states.schema['t'].dataType.simpleString()}, factor string, asset string, beta double"
+                parts.append(_betas(y, x, sw, inside))
+            if parts:
+                times, betas, fits = w["t"], np.concatenate([p[0][:, 1:] for p in parts]), np.concatenate([p[1] for p in parts])
+        k, k_names = len(times), len(names)
+        own = {c: h[c].iloc[0] if len(h) else None for c in (by, "asset")}
+        value = pd.Series(betas.ravel(), dtype="Float64").mask(~np.isfinite(betas.ravel()))
+        return pd.DataFrame({by: pd.Series([own[by]] * (k * k_names), dtype=object), "t": times.repeat(k_names).reset_index(drop=True), "factor": pd.Series(names * k, dtype=object), "asset": pd.Series([own["asset"]] * (k * k_names), dtype=object), "beta": value, "fit": pd.Series(np.repeat(fits, k_names), dtype=object)})
+
+    kind = f"{by} string, t {states.schema['t'].dataType.simpleString()}, factor string, asset string, beta double, fit string"
     return history.groupBy(by, "asset", "block").cogroup(windows.groupBy(by, "asset", "block")).applyInPandas(fit, kind)
 
 
-def _betas(y: np.ndarray, x: np.ndarray, sw: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Constant and betas of each window; a window whose fit fails has none and spoils no other."""
+def _betas(y: np.ndarray, x: np.ndarray, sw: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Constant and betas of each window, and how its fit went; a window whose fit fails has none and spoils no other."""
     try:
-        return fit_windows(y, x, sw, inside)[0]
-    except (np.linalg.LinAlgError, ZeroDivisionError):
+        beta, perfect = fit_windows(y, x, sw, inside)
+        return beta, np.where(np.isfinite(beta).all(1), np.where(perfect, PERFECT, OK), FIT_ERROR).astype(object)
+    except (np.linalg.LinAlgError, ZeroDivisionError) as e:
         if len(sw) == 1:
-            return np.full((1, x.shape[1]), np.nan)
-        return np.concatenate([_betas(y, x, sw[k : k + 1], inside[k : k + 1]) for k in range(len(sw))])
+            _LOG.warning("a fit of %d rows failed: %s", int(inside.sum()), e)
+            return np.full((1, x.shape[1]), np.nan), np.array([FIT_ERROR], object)
+        parts = [_betas(y, x, sw[k : k + 1], inside[k : k + 1]) for k in range(len(sw))]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def pin_threads(spark) -> None:
+    """One thread for each worker's linear algebra, unless the session says otherwise: tasks already take all cores."""
+    for k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        spark.sparkContext.environment.setdefault(k, "1")
 
 
 def names_of(factors: DataFrame) -> list[str]:
@@ -150,12 +167,13 @@ def long_form(df: DataFrame, key: str, order: str, by: str, group: Column | None
 
 def robust_betas(assets: DataFrame, factors: DataFrame, half_life: float | None = None, lambda_: float | None = None, min_timestamps: int = 10, order_col: str = "ts", n_jobs: int = -1) -> DataFrame:
     """(factor, asset, beta): one fit of each asset over all rows, which order_col puts in order (times or any other). beta is NULL where there are too few
-    usable rows or the fit fails. n_jobs > 0 bounds the partitions that fit."""
+    usable rows or the fit fails. n_jobs > 0: the number of partitions that fit."""
     if min_timestamps < 1:
         raise ValueError("min_timestamps must be at least 1")
-    require_panel(assets, factors, order_col)
-    names, by = names_of(factors), "_g"
-    a, f = long_form(assets, "asset", order_col, by), long_form(factors, "factor", order_col, by)
+    by = "_g"
+    a, f = checkpointed(long_form(assets, "asset", order_col, by)), checkpointed(long_form(factors, "factor", order_col, by))
+    require_panel(a, f, order_col)
+    names = names_of(f)
     rows = factor_rows(f, names, order_col, by)
     last = f.groupBy(by).agg(F.max(order_col).alias("t"))
     # a factor without any value has no rows to complete: no betas, as below the least number of rows
@@ -163,8 +181,7 @@ def robust_betas(assets: DataFrame, factors: DataFrame, half_life: float | None
     every = a.select("asset").distinct().join(F.broadcast(f.select("factor").distinct()), F.lit(True))
     if not check_windows(states, half_life, lambda_):
         return every.select("factor", "asset", F.lit(None).cast("double").alias("beta"))
-    usable = a.repartition(n_jobs, "asset") if n_jobs > 0 else a
-    beta = fit_states(usable, rows, states, names, order_col, by, half_life, lambda_, min_timestamps, blocks=1)
+    beta = fit_states(a, rows, states, names, order_col, by, half_life, lambda_, min_timestamps, blocks=1, single=True, n_jobs=n_jobs)
     return every.join(beta.select("factor", "asset", "beta"), ["factor", "asset"], "left").select("factor", "asset", "beta")
 
 

@@ -14,12 +14,7 @@ NAMED = 20
 
 def require_time(df: DataFrame, col: str, label: str) -> None:
     if not isinstance(df.schema[col].dataType, TIME_TYPES):
-        raise ValueError(f"Data object '{label}' must have a date or timestamp column '{col}', got {df.schema[col].dataType.simpleString()}")
-
-
-def require_rows(df: DataFrame, label: str) -> None:
-    if df.isEmpty():
-        raise ValueError(f"{label} is empty")
+        raise ValueError(f"{label}: column '{col}' holds {df.schema[col].dataType.simpleString()}, where a date or timestamp column is needed")
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
@@ -28,16 +23,11 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def require_unique(df: DataFrame, keys: list[str], what: str) -> None:
-    found = duplicates(df, *keys).orderBy(*keys).limit(NAMED).collect()
+    twice = duplicates(df, *keys)
+    found = twice.orderBy(*keys).limit(NAMED + 1).collect()
     if found:
-        raise ValueError(f"{what}: {[tuple(map(str, r)) if len(r) > 1 else str(r[0]) for r in found]}")
-
-
-def require_same_index(a: DataFrame, b: DataFrame, col: str = "ts") -> None:
-    """Both tables have rows at the same times."""
-    x, y = a.select(col).distinct(), b.select(col).distinct()
-    if not x.join(y, col, "left_anti").isEmpty() or not y.join(x, col, "left_anti").isEmpty():
-        raise ValueError("assets and factors must have the same index")
+        more = f" and {twice.count() - NAMED} more" if len(found) > NAMED else ""
+        raise ValueError(f"{what}: {[tuple(map(str, r)) if len(r) > 1 else str(r[0]) for r in found[:NAMED]]}{more}")
 
 
 def panel_faults(assets: DataFrame, factors: DataFrame, order: str) -> dict[str, int]:
@@ -55,10 +45,10 @@ def require_panel(assets: DataFrame, factors: DataFrame, order: str) -> None:
     found = panel_faults(assets, factors, order)
     for k in ("assets", "factors"):
         if not found[k]:
-            raise ValueError(f"{k} is empty")
+            raise ValueError(f"no rows: {k} is empty")
     if found["apart"]:
-        raise ValueError("assets and factors must have the same index")
+        raise ValueError(f"{found['apart']} time(s) occur on one side only; assets and factors need the same times")
     if found["twice_a"]:
-        require_unique(assets, [order, "asset"], "assets has duplicate asset name(s) at a time")
+        require_unique(assets, [order, "asset"], "more than one row for a time and asset")
     if found["twice_f"]:
-        require_unique(factors, [order, "factor"], "factors has duplicate factor name(s) at a time")
+        require_unique(factors, [order, "factor"], "more than one row for a time and factor")

@@ -19,10 +19,10 @@ def two_stage(rets: DataFrame, market: str, sectors: DataFrame, half_life: float
     first = pit_robust_betas(rets.where(F.col("asset") != market), factor, half_life=half_life, min_timestamps=min_timestamps, rebalance=rebalance)
     # the second stage's checks, windows and fits all read the residuals
     left = checkpointed(drop_all_missing_long(first["resid"], ["timestamp"], "resid").select(F.col("timestamp").alias("ts"), "asset", F.col("resid").alias("ret")))
-    stocks = left.join(F.broadcast(sectors), F.col("asset") == F.col("stock")).select("ts", "stock", "asset", "ret")
-    own = left.join(F.broadcast(sectors), F.col("asset") == F.col("sector")).select("ts", "stock", F.lit("SECTOR").alias("factor"), "ret")
+    stocks = left.join(sectors, F.col("asset") == F.col("stock")).select("ts", "stock", "asset", "ret")
+    own = left.join(sectors, F.col("asset") == F.col("sector")).select("ts", "stock", F.lit("SECTOR").alias("factor"), "ret")
     second = pit_robust_betas_by_group(stocks, own, "stock", half_life=half_life, min_timestamps=min_timestamps, rebalance=rebalance)
-    total = rets.join(F.broadcast(sectors), F.col("asset") == F.col("stock")).select("ts", "stock", F.col("ret").alias("total"))
+    total = rets.join(sectors, F.col("asset") == F.col("stock")).select("ts", "stock", F.col("ret").alias("total"))
     a = first["hedge"].select(F.col("timestamp").alias("ts"), F.col("asset").alias("stock"), (-F.col("hedge_ret")).alias("market"))
     b = second["hedge"].select(F.col("timestamp").alias("ts"), "stock", (-F.col("hedge_ret")).alias("sector"))
     c = second["resid"].select(F.col("timestamp").alias("ts"), "stock", F.col("resid").alias("residual"))

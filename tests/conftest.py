@@ -10,10 +10,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join([HERE, *filter(None, [os.environ.get(
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = SparkSession.builder.master("local[4]").config(map={"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g"}).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setCheckpointDir(f"file:{tmp_path_factory.mktemp('checkpoints')}")
     yield s
     s.stop()

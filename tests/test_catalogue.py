@@ -7,7 +7,7 @@ import pytest
 from chronolens import catalogue
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"two_stage_resids", "parallel_huber_betas", "pit_hedge", "pit_hedge_by_factor", "off_calendar_rebalance_dropped"}
+SLOW = {"pit_hedge", "pit_hedge_by_factor"}  # the flagship goes through both
 
 
 def cell(v):

@@ -175,12 +175,12 @@ def test_no_look_ahead(spark):
     "change,message",
     [
         (lambda a, f: (a.limit(0), f), "empty"),
-        (lambda a, f: (a.withColumn("ts", F.lit(1)), f), "timestamp column"),
-        (lambda a, f: (a.where(F.col("ts") > F.lit(DAY[3])), f), "same index"),
-        (lambda a, f: (a.union(a.where("asset = 'A'")), f), "duplicate asset"),
-        (lambda a, f: (a, f.union(f.where("factor = 'F1'"))), "duplicate factor"),
-        (lambda a, f: (a, f.withColumn("ret", F.when(F.col("factor") == "F1", F.col("ret")))), "no finite values"),
-        (lambda a, f: (a, f.withColumn("ret", F.when(F.col("factor") == "F1", F.col("ret")).otherwise(0.01))), "near-zero variance across"),
+        (lambda a, f: (a.withColumn("ts", F.lit(1)), f), "timestamp column is needed"),
+        (lambda a, f: (a.where(F.col("ts") > F.lit(DAY[3])), f), "same times"),
+        (lambda a, f: (a.union(a.where("asset = 'A'")), f), "time and asset"),
+        (lambda a, f: (a, f.union(f.where("factor = 'F1'"))), "time and factor"),
+        (lambda a, f: (a, f.withColumn("ret", F.when(F.col("factor") == "F1", F.col("ret")))), "without a single finite value"),
+        (lambda a, f: (a, f.withColumn("ret", F.when(F.col("factor") == "F1", F.col("ret")).otherwise(0.01))), "never move"),
         (lambda a, f: (a, f.withColumn("ret", F.when((F.col("factor") == "F2") & (F.col("ts") <= F.lit(DAY[1])), 0.5).otherwise(F.col("ret")))), "Error processing timestamp 2023-01-02"),
     ],
 )
@@ -192,7 +192,7 @@ def test_pit_refuses(spark, change, message):
 
 def test_pit_duplicate_rebalance_and_bad_weights(spark):
     a, f = panel(spark, *make(n=30, holes=False))
-    with pytest.raises(ValueError, match="duplicate timestamp"):
+    with pytest.raises(ValueError, match="given once only"):
         pit_robust_betas(a, f, half_life=15, rebalance=spark.createDataFrame([(DAY[20],), (DAY[20],)], "t timestamp_ntz"))
     with pytest.raises(ValueError, match="half_life or lambda_"):
         pit_robust_betas(a, f, rebalance=spark.createDataFrame([(DAY[20],)], "t timestamp_ntz"))
@@ -236,7 +236,7 @@ def test_simulate(spark):
     for bad in (lambda d: 1, lambda d: {"x": 2}, lambda d: 1 / 0):
         with pytest.raises(ValueError, match="Error processing timestamp 2023-01-03"):
             simulate({"x": Dataset(a)}, bad, [DAY[2]])
-    with pytest.raises(ValueError, match="timestamp column"):
+    with pytest.raises(ValueError, match="timestamp column is needed"):
         simulate({"x": Dataset(a.withColumn("ts", F.lit(1)))}, run, [DAY[2]])
     assert mask_to(a, DAY[2]).count() == 3
     assert {r.col: r.first_valid for r in first_valid(Dataset(a)).collect()} == {"early": DAY[0], "late": DAY[2]}
@@ -291,3 +291,113 @@ def test_streaming_replay(spark, tmp_path):
     q = replay(spark, src, "ts timestamp_ntz, v double", lambda t, df: got.append((t, df.count())), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert sorted(got) == [(DAY[0], 1), (DAY[1], 2), (DAY[2], 3)]
+
+
+def test_streaming_replay_late_rows(spark, tmp_path):
+    """A file that hasn't had its turn is never seen; a late row brings its time up again."""
+    import time
+
+    from chronolens.streaming.replay import replay
+
+    src, files = str(tmp_path / "in"), [[(DAY[0], 1.0)], [(DAY[1], 2.0)], [(DAY[0], 100.0), (DAY[2], 3.0)]]
+    for rows in files:
+        spark.createDataFrame(rows, "ts timestamp_ntz, v double").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # files come in the order of their times
+    got = []
+    for _ in range(2):  # nothing is left the second time
+        replay(spark, src, "ts timestamp_ntz, v double", lambda t, df: got.append((t, df.agg(F.sum("v")).first()[0])), str(tmp_path / "ck")).awaitTermination(120)
+    assert got == [(DAY[0], 1.0), (DAY[1], 3.0), (DAY[0], 101.0), (DAY[2], 106.0)]
+
+
+def test_result_sinks(spark, tmp_path):
+    from chronolens.sources.readers import write_by_time
+    from chronolens.streaming.replay import write_results
+
+    df = spark.createDataFrame([(DAY[0], 1), (DAY[1], 2)], "t timestamp_ntz, v long")
+    write_by_time(df.withColumn("t", F.to_date("t")), str(tmp_path / "a"))
+    assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "a")).where("t = '2023-01-02'").collect()) == [2] or spark.read.parquet(str(tmp_path / "a")).count() == 2
+    sink = write_results(str(tmp_path / "b"))
+    for _ in range(2):  # a time that comes again replaces its folder
+        sink(DAY[0], df.select("v"))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 2
+
+
+# ---- plans, faults and as-of lookups ----
+
+
+def test_plan_reads_its_panel_once(spark, tmp_path):
+    assets, factors = make(n=40, holes=False)
+    a, f = panel(spark, assets, factors)
+    for name, df in (("a", a), ("f", f)):
+        df.write.parquet(str(tmp_path / name))
+    a, f = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "f"))
+    out = pit_robust_betas(a, f, half_life=15, min_timestamps=12)
+    for k, df in out.items():
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "FileScan" not in plan, k
+    assert {r.fit for r in out["fits"].select("fit").distinct().collect()} == {"ok"}
+
+
+def test_n_jobs_bounds_the_partitions_that_fit(spark):
+    a, f = panel(spark, *make(n=40, holes=False))
+    plan = lambda n: B.robust_betas(a, f, half_life=15, n_jobs=n)._jdf.queryExecution().executedPlan().toString()
+    assert "block#" in plan(3) and ", 3), REPARTITION_BY_NUM" in plan(3) and "REPARTITION_BY_NUM" not in plan(-1)
+
+
+def test_failed_fit_is_missing(monkeypatch):
+    """A solver that breaks down on some windows leaves the others as they are."""
+    from chronolens.functions import huber
+
+    r = np.random.default_rng(1)
+    x = np.column_stack([np.ones(30), r.normal(size=30)])
+    y, sw = x @ [0.1, 2.0] + r.normal(0, 0.1, 30), np.ones((3, 30))
+    inside = np.stack([np.arange(30) < n for n in (10, 20, 30)])
+    whole, state = B._betas(y, x, sw, inside)
+    assert state.tolist() == ["ok"] * 3
+    solve = huber._solve
+
+    def broken(w, *rest):
+        if (np.count_nonzero(w, axis=1) == 20).any():
+            raise np.linalg.LinAlgError("no")
+        return solve(w, *rest)
+
+    monkeypatch.setattr(huber, "_solve", broken)
+    part, state = B._betas(y, x, sw, inside)
+    assert state.tolist() == ["ok", "fit_error", "ok"] and np.isnan(part[1]).all() and np.allclose(part[[0, 2]], whole[[0, 2]])
+    monkeypatch.undo()
+    assert B._betas(x @ [0.0, 2.0], x, sw, inside)[1].tolist() == ["perfect_fit"] * 3
+
+
+def test_lazy_failures_name_their_time(spark):
+    a = spark.createDataFrame([(DAY[k], 0) for k in range(3)], "ts timestamp_ntz, v long")
+    fails = lambda d: {"x": d["x"].select(F.raise_error(F.lit("no")).alias("v"))}
+    with pytest.raises(ValueError, match="Error processing timestamp 2023-01-03"):
+        simulate({"x": Dataset(a)}, fails, [DAY[2]], eager=True)
+    bad = simulate_distributed({"x": Dataset(a)}, lambda t, d: 1 / 0, a.select(F.col("ts").alias("t")).limit(1), "n long")
+    with pytest.raises(Exception, match="Error processing timestamp 2023-01-01"):
+        bad.collect()
+
+
+def test_asof_lookups(spark):
+    from chronolens.operators import causal
+
+    r = np.random.default_rng(5)
+    rows = [(DAY[int(k)], s, float(v)) for k in r.choice(60, 25, replace=False) for s, v in (("a", r.normal()), ("b", r.normal()))]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, s string, v double")
+    times = [DAY[k] for k in (0, 7, 7, 20, 59)] + [DAY[0] - timedelta(days=3)]
+    cal = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    for n in (1, 3):
+        got = sorted(map(tuple, causal.asof_dates(cal, df, n).collect()))
+        want = sorted((t, *x) for t in set(times) for x in rows if x[0] in sorted({y[0] for y in rows if y[0] <= t})[-n:])
+        assert got == want
+    got = {x.t: (x.n, round(x.total, 9)) for x in causal.growing(cal, df, {"n": F.count("v"), "total": F.sum("v")}).collect()}
+    assert got == {t: (len(k), round(sum(x[2] for x in k), 9)) for t in set(times) for k in [[x for x in rows if x[0] <= t]] if k}
+    assert causal.asof_dates(cal, df.limit(0)).isEmpty() and causal.asof_dates(cal.limit(0), df).isEmpty()
+
+
+def test_many_duplicates_are_counted(spark):
+    from chronolens.operators.checks import NAMED, require_unique
+
+    df = spark.createDataFrame([(k,) for k in range(NAMED + 5)] * 2, "k long")
+    with pytest.raises(ValueError, match="and 5 more"):
+        require_unique(df, ["k"], "twice")
