@@ -3,21 +3,52 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows handed to a mapper at once; bounds the Python objects alive in a worker.
-ROWS_PER_CALL = 512
+#: Rows handed to a mapper at once, and bytes of text worked on at once (or one longer text); both bound what is alive in a worker.
+ROWS_PER_CALL, BYTES_AT_ONCE = 512, 2 << 20
+
+_KEPT: dict = {}
+
+
+def kept(key: Hashable, make: Callable):
+    """What make() returned for this key in this worker. A worker keeps the tables of one operator only: they outlive a task, and go when another
+    operator, or another run of this one, asks."""
+    if key not in _KEPT:
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Gives the memory of earlier operators' tables back to the machine."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only some C libraries have it
+            pass
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), one that this function sets."""
+    """The folder named by spark.checkpoint.dir, which all executors must share. On one machine (tests, local masters) an unset one is set here;
+    elsewhere it is an error, because each executor would write to a disk of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file:/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -36,6 +67,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps that nothing refers to any more; it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -93,6 +130,89 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return ["" if x is None else x for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, name: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have BYTES_AT_ONCE bytes together, or of one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = ((size.cumsum() - size) // (most or BYTES_AT_ONCE)) if len(size) else size
+    starts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist()] if len(size) else []
+    for a, b in zip(starts, [*starts[1:], len(size)]):
+        yield batch.slice(a, b - a)
+
+
+def words(batch: pa.RecordBatch, name: str, ascii_only: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case words of the rows' texts one after the other, and how many each row has; null is the empty text. ascii_only: A-Z alone have a
+    lower case, and white space is 0x20 and 0x09 to 0x0D."""
+    whole = pc.fill_null(batch.column(batch.schema.get_field_index(name)), "")
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(whole)) if ascii_only else pc.utf8_split_whitespace(pc.utf8_lower(whole))
+    flat, sizes = cut.flatten(), pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty word
+    there = full.to_numpy(zero_copy_only=False)
+    if not there.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[there], minlength=len(sizes))
+        flat = flat.filter(full)
+    return flat, sizes
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambler of 64-bit words."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: An odd multiplier of 64 bits, bytes hashed at once, and the longest word that is hashed by its polynomial in it.
+_R, _PIECE, _SHORT = 0xD6E8FEB86659FD93, 1 << 17, 96
+
+
+def _powers(r: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.concatenate([[np.uint64(1)], np.full(_PIECE + _SHORT - 1, r, np.uint64)]).cumprod(dtype=np.uint64)
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def hashes(values: pa.Array) -> np.ndarray:
+    """64 bits for each of the strings, by their bytes alone: a polynomial of the bytes modulo 2**64, scrambled; longer words by xxhash."""
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.uint64)
+    if not _POWERS:
+        _POWERS.extend([_powers(_R), _powers(pow(_R, -1, 2**64))])
+    power, inverse = _POWERS
+    kind = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    ends = np.frombuffer(values.buffers()[1], kind)[values.offset : values.offset + n + 1].astype(np.int64)
+    size = np.diff(ends)
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
+    out = np.empty(n, np.uint64)
+    short = np.flatnonzero(size <= _SHORT)
+    with np.errstate(over="ignore"):
+        piece = (ends[short] - ends[0]) // _PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(short)] if len(short) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = short[a:b]
+            first, last = int(ends[at[0]]), int(ends[at[-1] + 1])
+            # a long word may stand between two short ones of a piece
+            x = data[first:last].astype(np.uint64) + np.uint64(1)
+            if len(x) > len(power):
+                sums = np.array([int((x[s - first : e - first] * power[: e - s]).sum()) for s, e in zip(ends[at].tolist(), ends[at + 1].tolist())], np.uint64)
+            else:
+                total = np.concatenate([[np.uint64(0)], (x * power[: len(x)]).cumsum(dtype=np.uint64)])
+                sums = (total[ends[at + 1] - first] - total[ends[at] - first]) * inverse[ends[at] - first]
+            out[at] = mix(sums + size[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for k in np.flatnonzero(size > _SHORT).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[ends[k] : ends[k + 1]].tobytes())
+    return out
+
+
+def word_hashes(flat: pa.Array) -> np.ndarray:
+    """A hash for each word, each distinct one hashed once."""
+    if not len(flat):
+        return np.zeros(0, np.uint64)
+    known = flat.dictionary_encode()
+    return hashes(known.dictionary)[known.indices.to_numpy(zero_copy_only=False)]
+
+
 class Memo(dict):
     """A map from key to computed value that holds at most twice `limit` entries: when the young half is full it becomes the old one.
 

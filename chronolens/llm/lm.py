@@ -1,15 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Tokens are the words of the text (A-Z in lower case) and one end. Counts come from the training documents, all of them. The exact token counts give
-the base score: tokens above a count that leaves at most FREQUENT of them are looked up in a broadcast table, the others' counts are joined. The model's
-own score takes its unigrams from the same exact counts. Its bigrams are held in a Bloom filter with their counts quantised to powers of two, a bigram
-of count c as 1 + floor(log2 c) members; probing for one member after the other, as far as the largest level stored, until one is missing gives the
-count back, with one-sided error, and no bigram counts for more than either of its words. A bigram's probability is interpolated:
-WEIGHT * count(v w) / count(v) + (1 - WEIGHT) * (count(w) + 0.1) / (N + 0.1 (V + 1)); the start of a text has the end as its context.
-
-The filter is cut by hash into segments which are counted, sized and filled apart, BITS bits a member at every size of the corpus: the number of segments
-grows with the text, not their size. They lie in the shared folder. Texts are scored by chunks of about CHUNK tokens: a chunk's distinct bigrams go to
-their segments, the levels found there come back to the chunk. Only the FREQUENT entries are broadcast; no worker holds more than one segment.
+Tokens are the words of the text (A-Z in lower case) and one end. Counts come from the training documents, all of them. Words are told apart by 64-bit
+hashes (V distinct words make V**2 / 2**65 wrong pairs in expectation); their exact counts give the base score and the model's unigrams. Bigrams are
+held in a Bloom filter with their counts quantised to powers of two, a bigram of count c as 1 + floor(log2 c) members; probing for one member after the
+other, as far as the largest level stored, until one is missing gives the quantised count back: the least count of its step, with one-sided error.
+A bigram never counts for more than either of its words. Its probability is interpolated:
+WEIGHT * count(v w) / count(v) + (1 - WEIGHT) * (count(w) + 0.1) / (N + 0.1 (V + 1)); the start of a text has the end as its context. Since steps count
+for their least, the probabilities that follow a context add up to 1 at most, but for false members: HASHES probes at BITS bits a member find an
+absent n-gram with a probability of (1 - exp(-HASHES / BITS)) ** HASHES, 0.0006, at every size.
+
+The filter and the word counts are cut by hash into segments which are counted, sized and filled apart, BITS bits a member at every size of the corpus:
+the number of segments grows with the text, not their size. They lie in the shared folder. No broadcast: a filter that keeps its error grows with the
+corpus, so the probes travel to its segments. Texts are scored by chunks of about CHUNK tokens: a chunk's distinct words and bigrams go to their
+segments, the counts and levels found there come back to the chunk. No worker holds more than one segment or one chunk (a longer text is one chunk).
 
 Null texts count as empty (one end, counted). A null id is the empty text for the split into training and held-out documents. Without training documents
 every token has probability 1 in the base. Texts of any length are scored whole; equal texts have equal scores; an empty table gives an empty table.
@@ -18,36 +21,28 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ROWS_PER_CALL, arrow_type, materialise, texts
-from .common import _remove as remove
-from .near_dup import mix
+from .common import arrow_type, hashes, materialise, mix, slices, sweep, words
 
-FREQUENT, BITS, HASHES, WEIGHT, ADD = 400_000, 8, 4, 0.7, 0.1
-#: Characters of text for each segment of the filter (a power of two of them, between the two bounds), bigrams (and a third as
-#: many distinct words) a task holds before it hands their counts on, words a worker keeps hashes of, and tokens scored at once.
-CHARS, LEAST_SEGMENTS, MOST_SEGMENTS, HELD, CACHED, CHUNK = 1 << 23, 64, 1 << 24, 1_000_000, 150_000, 1_500_000
+BITS, HASHES, WEIGHT, ADD = 16, 8, 0.7, 0.1
+#: Characters of text for each segment (a power of two of segments, between the two bounds), tokens a task holds before it hands their counts on, and
+#: tokens scored at once.
+CHARS, LEAST_SEGMENTS, MOST_SEGMENTS, HELD, CHUNK = 1 << 23, 64, 1 << 24, 1_000_000, 1_000_000
 
-END = b" "
+_END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0xD1342543DE82EF95)
-_LOW = 40  # bits of a hash within its segment's stretch of the 64-bit range
-
-
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+#: Bits of a bigram's hash that are kept beside its segment's; a segment has some 2**19 bigrams.
+_LOW = 32
 
 
 def trains(id_col: str) -> Column:
@@ -58,62 +53,48 @@ def bigram(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return mix(before * _STEP + after)
 
 
-class _Hashes:
-    """Words -> rows of a table of their hashes."""
+def sequence(h: np.ndarray, sizes: np.ndarray, end: int = _END) -> np.ndarray:
+    """The words' hashes (or places) with an end after each text."""
+    out = np.full(len(h) + len(sizes), end, h.dtype)
+    ends = sizes.cumsum() + np.arange(len(sizes))
+    word = np.ones(len(out), bool)
+    word[ends] = False
+    out[word] = h
+    return out
 
-    def __init__(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.table = np.zeros(1 << 16, np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.place) > CACHED:
-            self.place.clear()
-        place = self.place
-        found = list(map(place.get, words))
-        if None in found:
-            for k, x in enumerate(found):
-                if x is None:
-                    w = words[k]
-                    if (at := place.get(w)) is None:
-                        at = place[w] = len(place)
-                        if at >= len(self.table):
-                            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                        self.table[at] = xxhash.xxh3_64_intdigest(w)
-                    found[k] = at
-        return self.table[np.array(found, np.int64)]
+def pairs(seq: np.ndarray) -> np.ndarray:
+    """The bigram that ends in each place; the first word of a text follows an end."""
+    return bigram(np.concatenate([[_END], seq[:-1]]), seq)
 
 
-_HASHES = _Hashes()
-_END = np.uint64(xxhash.xxh3_64_intdigest(END))
+def _z(a: np.ndarray) -> bytes:
+    return zstandard.compress(a.tobytes(), 1)
 
 
-def _low(h: np.ndarray, shift: np.uint64) -> np.ndarray:
-    """The bits of the hashes below those that give the segment."""
-    return (h >> (shift - np.uint64(_LOW))) & np.uint64((1 << _LOW) - 1)
+def _unz(b: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(b), kind)
 
 
-def _gaps(low: np.ndarray) -> bytes:
-    """Ascending low bits by differences of 32 bits (of 64 if one is too large)."""
-    gap = np.diff(low.astype(np.int64), prepend=0)
-    wide = gap.max(initial=0) >= 1 << 32
-    return (b"w" if wide else b"d") + len(gap).to_bytes(4, "little") + gap.astype(np.int64 if wide else np.uint32).tobytes()
+def _planes(a: np.ndarray) -> bytes:
+    """Whole numbers below 2**64 by the planes of their bytes, packed: the high ones are nearly all zeros."""
+    wide = int(a.max(initial=0)) >= 1 << 32
+    k = 8 if wide else 4
+    return (b"w" if wide else b"d") + _z(np.ascontiguousarray(a.astype(f"<u{k}").view(np.uint8).reshape(-1, k).T))
 
 
-def _lows(b: bytes) -> tuple[np.ndarray, int]:
-    """The low bits, and where they end."""
-    k, wide = int.from_bytes(b[1:5], "little"), b[:1] == b"w"
-    end = 5 + k * (8 if wide else 4)
-    return np.frombuffer(b[5:end], np.int64 if wide else np.uint32).astype(np.int64).cumsum(), end
+def _from_planes(b: bytes) -> np.ndarray:
+    k = 8 if b[:1] == b"w" else 4
+    return np.ascontiguousarray(_unz(b[1:], np.uint8).reshape(k, -1).T).view(f"<u{k}").reshape(-1).astype(np.uint64)
 
 
-def _pack(low: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending low bits and counts."""
-    return _gaps(low) + zlib.compress(n.astype(np.int64).tobytes(), 1)
+def _gaps(low: np.ndarray) -> bytes:
+    """Ascending numbers by their differences."""
+    return _planes(np.diff(low, prepend=np.uint64(0)))
 
 
-def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    low, end = _lows(b)
-    return low, np.frombuffer(zlib.decompress(b[end:]), np.int64)
+def _lows(b: bytes) -> np.ndarray:
+    return _from_planes(b).cumsum(dtype=np.uint64)
 
 
 def _sums(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,195 +105,165 @@ def _sums(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _count(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
-    """Rows (token, n) with a task's counts, and (segment, packed) with those of its bigrams' hashes."""
-    schema = pa.schema([("token", pa.string()), ("n", pa.int64()), ("segment", pa.int32()), ("packed", pa.binary())])
-    shift = np.uint64(64 - segments.bit_length() + 1)
-    words, pairs, held = Counter(), [], 0
+class Cut:
+    """Hashes by segment: the highest bits are the segment's, the next _LOW ones (all the others for words) lie below."""
+
+    def __init__(self, segments: int) -> None:
+        self.segments, self.shift = segments, np.uint64(64 - segments.bit_length() + 1)
+
+    def ends(self, h: np.ndarray) -> np.ndarray:
+        return np.searchsorted(h >> self.shift, np.arange(self.segments + 1, dtype=np.uint64))
+
+    def word(self, h: np.ndarray) -> np.ndarray:
+        return h & np.uint64((1 << int(self.shift)) - 1)
+
+    def pair(self, h: np.ndarray) -> np.ndarray:
+        return (h >> (self.shift - np.uint64(_LOW))) & np.uint64((1 << _LOW) - 1)
+
 
-    def packed(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        ends = np.searchsorted(h >> shift, np.arange(segments + 1, dtype=np.uint64))
-        full = [(k, _pack(_low(h[a:b], shift), n[a:b])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.nulls(len(full), pa.int64()), pa.array([k for k, _ in full], pa.int32()), pa.array([b for _, b in full], pa.binary())], schema=schema)
+_COUNTED = pa.schema([("segment", pa.int32()), ("words", pa.binary()), ("n", pa.binary()), ("pairs", pa.binary()), ("m", pa.binary())])
 
-    def flush_pairs() -> Iterator[pa.RecordBatch]:
-        whole = np.concatenate(pairs)
-        pairs.clear()
+
+def _count(batches: Iterator[pa.RecordBatch], segments: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A task's words and bigrams with their counts, by segment."""
+    cut, found, counts, bigrams, held = Cut(segments), [], [], [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        h, n = _sums(np.concatenate(found), np.concatenate(counts))
+        whole = np.concatenate(bigrams)
         whole.sort()
         first = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
-        yield packed(whole[first], np.diff(first, append=len(whole)))
-
-    def flush_words() -> Iterator[pa.RecordBatch]:
-        keys, n = list(words), np.array(list(words.values()), np.int64)
-        words.clear()
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k.decode("utf-8", "surrogatepass") for k in part], pa.string()), pa.array(n[at : at + 50_000]), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], schema=schema)
+        p, m = whole[first], np.diff(first, append=len(whole))
+        a, b = cut.ends(h), cut.ends(p)
+        full = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist()
+        at = [(slice(a[k], a[k + 1]), slice(b[k], b[k + 1])) for k in full]
+        parts = [full, [_gaps(cut.word(h[x])) for x, _ in at], [_z(n[x]) for x, _ in at], [_gaps(cut.pair(p[y])) for _, y in at], [_z(m[y]) for _, y in at]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(parts, _COUNTED)], schema=_COUNTED)
 
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS_PER_CALL):
-            for x in texts(batch.slice(start, ROWS_PER_CALL), "t"):
-                w = tokens(x)
-                words.update(w)
-                words[END] += 1
-                h = _HASHES.of(w) if w else np.zeros(0, np.uint64)
-                pairs.append(bigram(np.append(_END, h), np.append(h, _END)))
-                held += len(w) + 1
-                if held >= HELD:
-                    yield from flush_pairs()
-                    held = 0
-                if len(words) >= HELD // 3:
-                    yield from flush_words()
+        for part in slices(batch, "t"):
+            flat, sizes = words(part, "t", ascii_only=True)
+            known = flat.dictionary_encode()
+            h, at = hashes(known.dictionary), known.indices.to_numpy(zero_copy_only=False)
+            found += [h, np.array([_END])]
+            counts += [np.bincount(at, minlength=len(h)), np.array([len(sizes)])]
+            bigrams.append(pairs(sequence(h[at], sizes)))
+            held += len(bigrams[-1])
+            if held >= most:
+                yield from flush()
+                found, counts, bigrams, held = [], [], [], 0
     if held:
-        yield from flush_pairs()
-    if words:
-        yield from flush_words()
+        yield from flush()
 
 
-def _places(h: np.ndarray, level: int, k: int, size: np.ndarray | int) -> np.ndarray:
+def _place(h: np.ndarray, level: int, k: int, size: int) -> np.ndarray:
     """The k-th bit of h's member of a level, below size."""
     x = mix(h + np.uint64((level * HASHES + k + 1) * 0x9E3779B97F4A7C15 % 2**64))
-    return ((x >> np.uint64(32)) * np.asarray(size, np.uint64)) >> np.uint64(32)
-
-
-def _fill(most: int | None = None):
-    """Packed counts of one segment -> its bits (most at most, where it is given) and largest level."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b) for b in table.column("packed").to_pylist()]
-        low, n = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        level = np.frexp(n.astype(np.float64))[1]  # 1 + floor(log2 n)
-        bits = BITS * int(level.sum())
-        bits = int(max(64, bits if most is None else min(most, bits)) + 7) // 8 * 8
-        top = int(level.max(initial=0))
-        on = np.zeros(bits, bool)
-        h = low.astype(np.uint64)
-        for q in range(1, top + 1):
-            h = h[level >= q]
-            level = level[level >= q]
-            for k in range(HASHES):
-                on[_places(h, q, k, bits).astype(np.int64)] = True
-        return pa.table({"segment": pa.array([table.column("segment")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary()), "top": pa.array([top], pa.int32())})
+    return (((x >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)
 
-    return run
 
+def fill(h: np.ndarray, n: np.ndarray) -> tuple[bytes, int]:
+    """The bits of a filter of counted hashes, and its largest level."""
+    level = np.frexp(n.astype(np.float64))[1]  # 1 + floor(log2 n)
+    bits, top = max(64, BITS * int(level.sum())) // 8 * 8, int(level.max(initial=0))
+    on = np.zeros(bits, bool)
+    for q in range(1, top + 1):
+        h, level = h[level >= q], level[level >= q]
+        for k in range(HASHES):
+            on[_place(h, q, k, bits)] = True
+    return np.packbits(on, bitorder="little").tobytes(), top
 
-def _levels(bits: np.ndarray, low: np.ndarray, begin: np.ndarray, size: np.ndarray, top: int) -> np.ndarray:
-    """Of each hash the members found one after the other, top at most; begin and size, in bits, are its segment's."""
-    level = np.zeros(len(low), np.int64)
-    at = np.flatnonzero(size > 0)
+
+def levels(bits: np.ndarray, top: int, h: np.ndarray) -> np.ndarray:
+    """Of each hash the members found one after the other, top at most."""
+    level, at = np.zeros(len(h), np.int64), np.arange(len(h)) if len(bits) else np.zeros(0, np.int64)
     for q in range(1, top + 1):
         for k in range(HASHES):
-            p = begin[at] + _places(low[at], q, k, size[at])
-            at = at[((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1) > 0]
+            p = _place(h[at], q, k, 8 * len(bits))
+            at = at[(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1) > 0]
         if not len(at):
             break
         level[at] = q
     return level
 
 
-def _middle(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts from 2 ** (level - 1) to 2 ** level - 1."""
-    return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
-
-
-class Filter:
-    """The segments side by side; count(h) are the counts that the members found stand for."""
-
-    def __init__(self, segments: int, sizes: list[int], bits: bytes, top: int = 64) -> None:
-        """sizes: bytes of each segment; top: the largest level stored."""
-        self.shift, self.top = np.uint64(64 - segments.bit_length() + 1), top
-        size = np.array(sizes, np.int64) * 8
-        self.size, self.begin = size.astype(np.uint64), np.concatenate([[0], size.cumsum()[:-1]]).astype(np.uint64)
-        self.bits = np.frombuffer(bits, np.uint8)
-
-    def count(self, h: np.ndarray) -> np.ndarray:
-        segment = (h >> self.shift).astype(np.int64)
-        return _middle(_levels(self.bits, _low(h, self.shift), self.begin[segment], self.size[segment], self.top))
-
-
-class _Places(dict):
-    """Word -> its place in order of appearance; the end is the first."""
-
-    def __init__(self) -> None:
-        super().__init__({END: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        return at
+def least(level: np.ndarray) -> np.ndarray:
+    """The least count of a level's step."""
+    return np.where(level > 0, 2.0 ** (level - 1.0), 0.0)
 
 
-def _pairs(seq: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words before those of seq (texts of these sizes one after the other), and the bigrams' hashes."""
-    before = np.roll(seq, 1)
-    before[np.concatenate([[0], sizes.cumsum()[:-1]]).astype(np.int64)] = 0
-    return before, bigram(h[before], h[seq])
+def _fill(table: pa.Table) -> pa.Table:
+    """What tasks counted of one segment -> its words with their counts, and its filter."""
+    both = {}
+    for a, b in (("words", "n"), ("pairs", "m")):
+        both[a] = _sums(np.concatenate([_lows(x) for x in table.column(a).to_pylist()]), np.concatenate([_unz(x, np.int64) for x in table.column(b).to_pylist()]))
+    (h, n), (bits, top) = both["words"], fill(*both["pairs"])
+    row = {"segment": table.column("segment")[0].as_py(), "words": h.tobytes(), "n": _z(n), "bits": bits, "top": top, "distinct": len(h), "total": int(n.sum())}
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+    return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), kinds)})
 
 
-_KEPT: dict = {}
+#: Rows of documents (seq), of chunks (hashes), and of what a chunk asks of a segment.
+_ASKED = "chunk long, n_tokens long, seq binary, hashes binary, segment int, words binary, pairs binary"
 
 
-def _frequent(key: str, shared) -> dict[bytes, int]:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = {t.encode("utf-8", "surrogatepass"): n for t, n in zip(*shared.value)}
-    return _KEPT[key]
-
-
-#: Rows of documents, of chunks, and of a chunk's bigrams in a segment.
-_ASKED = "chunk long, n_tokens long, seq binary, hashes binary, counts binary, rare array<string>, segment int, packed binary"
-
-
-def _ask(batches: Iterator[pa.RecordBatch], schema: pa.Schema, segments: int, ends: int, frequent: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    """Documents with their tokens' places among a chunk's words; the chunk's words by hash and count (-1 for rare ones, which follow as words); and
-    its distinct bigrams by segment."""
-    task, shift = TaskContext.get().partitionId(), np.uint64(64 - segments.bit_length() + 1)
-    chunk, held = task << 32, 0
-    place, seqs, kept = _Places(), [], []
+def _ask(batches: Iterator[pa.RecordBatch], schema: pa.Schema, segments: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Documents with their tokens' places among their chunk's words; the chunk's words; its distinct words and bigrams by segment."""
+    cut, chunk = Cut(segments), TaskContext.get().partitionId() << 32
+    known, places, sizes_of, kept, held, words_held = [], [], [], [], 0, 0
 
     def rows(n: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([chunk] * n, f.type) if f.name == "chunk" else pa.nulls(n, f.type) if f.name not in given else given[f.name] if isinstance(given[f.name], pa.Array) else pa.array(given[f.name], f.type) for f in schema], schema=schema)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        words, at = list(place), 0
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        c = np.array([ends, *(frequent.get(w, -1) for w in words[1:])], np.int64)
+        h, which = np.unique(np.concatenate(known), return_inverse=True)
+        at_word, sizes = which[np.concatenate(places)], np.concatenate(sizes_of) + 1
+        n = np.bincount(at_word, minlength=len(h))
+        rank = np.empty(len(h), np.int64)
+        rank[np.argsort(-n, kind="stable")] = np.arange(len(h))  # frequent words have small places, which pack well
+        place = rank[at_word]
+        ends, at = sizes.cumsum(), 0
         for part in kept:
-            own = seqs[at : at + part.num_rows]
+            own = range(at, at + part.num_rows)
             at += part.num_rows
-            yield rows(part.num_rows, id=part.column(0), train=part.column(1), n_tokens=[len(x) for x in own], seq=[zlib.compress(x.tobytes(), 1) for x in own])
-        yield rows(1, hashes=[h.tobytes()], counts=[zlib.compress(c.tobytes(), 1)], rare=[[words[k].decode("utf-8", "surrogatepass") for k in np.flatnonzero(c < 0).tolist()]])
-        asked = np.unique(_pairs(np.concatenate(seqs), np.array([len(x) for x in seqs]), h)[1])
-        stop = np.searchsorted(asked >> shift, np.arange(segments + 1, dtype=np.uint64))
-        full = np.flatnonzero(np.diff(stop)).tolist()
-        yield rows(len(full), segment=full, packed=[_gaps(_low(asked[stop[k] : stop[k + 1]], shift)) for k in full])
+            yield rows(part.num_rows, id=part.column(0), train=part.column(1), n_tokens=sizes[own.start : own.stop], seq=[_planes(place[ends[k] - sizes[k] : ends[k]]) for k in own])
+        p = np.unique(pairs(h[at_word]))
+        a, b = cut.ends(h), cut.ends(p)
+        yield rows(1, hashes=[h[np.argsort(rank)].tobytes()])
+        full = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist()
+        yield rows(len(full), segment=full, words=[_gaps(cut.word(h[a[k] : a[k + 1]])) for k in full], pairs=[_gaps(cut.pair(p[b[k] : b[k + 1]])) for k in full])
 
     for batch in batches:
-        at = 0
-        for i, x in enumerate(texts(batch, "t")):
-            w = tokens(x)
-            seqs.append(np.array([*map(place.__getitem__, w), 0], np.int32))
-            held += len(w) + 1
-            if held >= CHUNK or i + 1 == batch.num_rows:
-                kept.append(batch.select(["id", "train"]).slice(at, i + 1 - at))
-                at = i + 1
-            if held >= CHUNK:
+        for part in slices(batch, "t"):
+            flat, sizes = words(part, "t", ascii_only=True)
+            coded = flat.dictionary_encode()
+            # the end is the first word of each part
+            known.append(np.concatenate([[_END], hashes(coded.dictionary)]))
+            places.append(sequence(coded.indices.to_numpy(zero_copy_only=False) + 1, sizes, 0) + words_held)
+            words_held += len(known[-1])
+            sizes_of.append(sizes)
+            kept.append(part.select(["id", "train"]))
+            held += len(places[-1])
+            if held >= most:
                 yield from flush()
-                place, seqs, kept = _Places(), [], []
-                held, chunk = 0, chunk + 1
+                known, places, sizes_of, kept, held, words_held, chunk = [], [], [], [], 0, 0, chunk + 1
     if held:
         yield from flush()
 
 
 def _probe(filled: pa.Table, asked: pa.Table) -> pa.Table:
-    """A segment's filter (no row: it is empty) and the bigrams asked of it -> their levels."""
-    bits, top = (np.frombuffer(filled.column("bits")[0].as_py(), np.uint8), filled.column("top")[0].as_py()) if filled.num_rows else (np.zeros(0, np.uint8), 0)
-    lows = [_lows(b)[0].astype(np.uint64) for b in asked.column("packed").to_pylist()]
-    found = []
-    for low in lows:
-        level = _levels(bits, low, np.zeros(len(low), np.uint64), np.full(len(low), 8 * len(bits), np.uint64), top)
-        found.append(zlib.compress(level.astype(np.uint8).tobytes(), 1))
-    return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), "levels": pa.array(found, pa.binary())})
+    """A segment (no row: it is empty), and the words and bigrams asked of it -> their counts and levels."""
+    bits, top, h, n = np.zeros(0, np.uint8), 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if filled.num_rows:
+        r = filled.to_pylist()[0]
+        bits, top, h, n = np.frombuffer(r["bits"], np.uint8), r["top"], np.frombuffer(r["words"], np.uint64), _unz(r["n"], np.int64)
+    counts, found = [], []
+    for x, y in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist()):
+        w = _lows(x)
+        at = np.minimum(np.searchsorted(h, w), max(0, len(h) - 1))
+        counts.append(_z(np.where(h[at] == w, n[at], 0) if len(h) else np.zeros(len(w), np.int64)))
+        found.append(_z(levels(bits, top, _lows(y)).astype(np.uint8)))
+    return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), "counts": pa.array(counts, pa.binary()), "levels": pa.array(found, pa.binary())})
 
 
 def _finish(n: int, v: int):
@@ -320,29 +271,21 @@ def _finish(n: int, v: int):
     below = n + ADD * (v + 1)
 
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        h = c = None
-        answers = {}
-        counts: list[dict] = []
-        for r in known.to_pylist():
-            if r["segment"] is not None:
-                answers[r["segment"]] = zlib.decompress(r["levels"])
-            elif r["hashes"] is not None:
-                h, c = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(zlib.decompress(r["counts"]), np.int64).copy()
-            else:
-                counts = r["found"]
-        rare = np.flatnonzero(c < 0)
-        c[rare] = 0
-        if counts:
-            c[rare[[x["pos"] for x in counts]]] = [x["c"] for x in counts]
-        c = c.astype(np.float64)
-        level = np.frombuffer(b"".join(answers[k] for k in sorted(answers)), np.uint8).astype(np.int64)
+        answers = sorted((r["segment"], r["counts"], r["levels"]) for r in known.select(["segment", "counts", "levels"]).to_pylist() if r["segment"] is not None)
+        h = np.frombuffer(next(x for x in known.column("hashes").to_pylist() if x is not None), np.uint64)
+        c = np.empty(len(h))
+        c[np.argsort(h)] = np.concatenate([_unz(x, np.int64) for _, x, _ in answers])
+        level = np.concatenate([_unz(x, np.uint8) for _, _, x in answers]).astype(np.int64)
         sizes = docs.column("n_tokens").to_numpy()
-        seq = np.frombuffer(b"".join(map(zlib.decompress, docs.column("seq").to_pylist())), np.int32)
-        before, pair = _pairs(seq, sizes, h)
-        distinct, which = np.unique(pair, return_inverse=True)
-        assert len(distinct) == len(level)
+        seq = np.concatenate([_from_planes(x) for x in docs.column("seq").to_pylist()]).astype(np.int64)
+        # a group's rows come in any order, and each text's first word follows an end: all but that is as in the chunk
+        before = np.roll(seq, 1)
+        before[0] = seq[-1]
+        distinct, which = np.unique(bigram(h[before], h[seq]), return_inverse=True)
+        if len(distinct) != len(level):
+            raise ValueError("a chunk's bigrams and their answers differ")
         c1, c0 = c[before], c[seq]
-        c2 = np.minimum(np.minimum(_middle(level)[which], c1), c0)
+        c2 = np.minimum(np.minimum(least(level)[which], c1), c0)
         p0 = (c0 + ADD) / below
         p = np.where(c1 > 0, WEIGHT * c2 / np.maximum(c1, 1.0) + (1 - WEIGHT) * p0, p0)
         text = np.repeat(np.arange(len(sizes)), sizes)
@@ -352,43 +295,39 @@ def _finish(n: int, v: int):
     return run
 
 
+def _filled(rows: DataFrame, segments: int, name: str) -> DataFrame:
+    """The segments' word counts and filters, written."""
+    most = HELD
+    counted = rows.where("train").select("t").mapInArrow(lambda it: _count(it, segments, most), "segment int, words binary, n binary, pairs binary, m binary")
+    filled = counted.groupBy("segment").applyInArrow(_fill, "segment int, words binary, n binary, bits binary, top int, distinct long, total long")
+    return materialise(filled, f"{name}-filter")
+
+
+def _answers(filled: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """What the segments know of what was asked of them, written."""
+    wanted = asked.where("segment is not null").select("chunk", "segment", "words", "pairs")
+    held = filled.select("segment", "words", "n", "bits", "top")
+    answers = held.groupBy("segment").cogroup(wanted.groupBy("segment")).applyInArrow(_probe, "chunk long, segment int, counts binary, levels binary")
+    return materialise(answers, f"{name}-answers")
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "lm") -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), trains("`" + id_col + "`").alias("train"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"), trains(f"`{id_col}`").alias("train"))
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     segments = min(MOST_SEGMENTS, max(LEAST_SEGMENTS, 1 << max(0, (chars - 1) // CHARS).bit_length()))
-    counted = rows.where("train").select("t").mapInArrow(lambda it: _count(it, segments), "token string, n long, segment int, packed binary")
-    counted = materialise(counted, f"{name}-counted")
-    counts = materialise(counted.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")), f"{name}-counts")
-    total = counts.agg(F.sum("c"), F.count(F.lit(1)), F.max(F.when(F.col("token") == END.decode(), F.col("c")))).first()
-    n, v, ends = total[0] or 0, total[1], total[2] or 0
-    # the lowest count from which on at most FREQUENT tokens have it, to a sixteenth of a power of two
-    step = F.floor(F.log2(F.col("c").cast("double")) * 16)
-    least, held = None, 0
-    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["s"]):
-        held += r["k"]
-        if held > FREQUENT:
-            break
-        least = r["s"]
-    often = (step >= F.lit(least)) if least is not None else F.lit(False)
-    frequent = counts.where(often & (F.col("token") != END.decode())).select("token", "c").toArrow()  # FREQUENT rows at most
-    filled = counted.where("segment is not null").select("segment", "packed").groupBy("segment").applyInArrow(_fill(), "segment int, bits binary, top int")
-    filled = materialise(filled, f"{name}-filter")
-    for path in {x.rsplit("/", 1)[0] for x in counted.inputFiles()}:  # all that is read of it is stored anew
-        remove(spark, path)
-    shared, key = spark.sparkContext.broadcast((frequent.column("token").to_pylist(), frequent.column("c").to_pylist())), uuid.uuid4().hex
-    del frequent
+    filled = _filled(rows, segments, name)
+    sweep(spark)
+    n, v = (x or 0 for x in filled.agg(F.sum("total"), F.sum("distinct")).first())
 
     made = T.StructType([rows.schema["id"], rows.schema["train"], *T.StructType.fromDDL(_ASKED)])
     schema = pa.schema([("id", to_arrow_type(made["id"].dataType)), *[(f.name, arrow_type(f.dataType)) for f in made.fields[1:]]])
-    asked = rows.mapInArrow(lambda it: _ask(it, schema, segments, ends, _frequent(key, shared)), made)
-    asked = materialise(asked, f"{name}-asked")
-    answers = filled.groupBy("segment").cogroup(asked.where("segment is not null").select("chunk", "segment", "packed").groupBy("segment")).applyInArrow(_probe, "chunk long, segment int, levels binary")
-    chunks = asked.where("hashes is not null")
-    rare = chunks.select("chunk", F.posexplode("rare").alias("pos", "token")).join(counts.where(~often), "token")
-    rare = rare.groupBy("chunk").agg(F.collect_list(F.struct("pos", "c")).alias("found"))
-    known = answers.unionByName(chunks.select("chunk", "hashes", "counts"), allowMissingColumns=True).unionByName(rare, allowMissingColumns=True)
+    most = CHUNK
+    asked = materialise(rows.mapInArrow(lambda it: _ask(it, schema, segments, most), made), f"{name}-asked")
+    answers = _answers(filled, asked, name)
+    sweep(spark)
+    known = answers.unionByName(asked.where("hashes is not null").select("chunk", "hashes"), allowMissingColumns=True)
     docs = asked.where("seq is not null").select("chunk", "id", "train", "n_tokens", "seq")
     scored = T.StructType([*made.fields[:2], *T.StructType.fromDDL("n_tokens long, n_known long, base double, score double")])
     out = docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_finish(n, v), scored)
