@@ -9,10 +9,12 @@ document if the level is below the shingle's weight there. A component's value i
 probability of their bags' weighted Jaccard similarity. Points are made only up to the time by which all components are filled.
 
 BANDS bands of ROWS components give bucket keys (a pair of similarity 0.8 misses all with probability 3e-6). In a bucket, distinct texts are first
-paired with its smallest member only, and each text keeps its FIRST smallest of these; verified links make classes. Then every pair of a bucket
-whose members are still in different classes is compared if it shares AGREE buckets (a pair of similarity 0.8 fails this with probability 5e-5)
-and passes two bounds that no similar pair fails: of the bags' sizes, and of their overlap by the counts of FOLDS hash classes. Every link is
-verified on the whole bags; links inside a class already found need no comparison.
+paired with its smallest member only, and each text keeps its FIRST smallest of these; verified links make classes. Then, in the buckets of the first
+REST bands (a pair of similarity 0.8 misses them with probability 7e-5) whose members are still in different classes, the members outside the bucket's
+largest class are held against all members of other classes, on their whole bags, in blocks of about BLOCK texts: inside a block one inverted list of
+shingles gives a text's overlap with all others, only links become rows, and the blocks of a large bucket meet in as many tasks as it has blocks.
+So a group of many texts just below the threshold costs arithmetic, not rows. Every link is verified on the whole texts; links inside a class already
+found need no comparison.
 
 Equal texts are one node. Rows with a null text count as empty. A null id counts as the largest. Ties: the smallest id stands for a class.
 An empty table gives an empty table. Extra columns pass through in deduplicate() and are ignored in classes(); names that begin with _nd_ are the operator's own.
@@ -20,39 +22,36 @@ An empty table gives an empty table. Extra columns pass through in deduplicate()
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, fields, map_rows, materialise, texts
+from .common import fields, map_rows, materialise, mix, slices, word_hashes, words
 
-SHINGLE, SIMILAR, BANDS, ROWS, FIRST, AGREE, FOLDS = 5, 0.8, 32, 5, 3, 2, 128
+SHINGLE, SIMILAR, BANDS, ROWS, FIRST, REST, BLOCK = 5, 0.8, 32, 5, 3, 24, 256
 SIZE = BANDS * ROWS
-#: Words of texts handled at once, and word hashes that a worker keeps.
-WORDS_AT_ONCE, CACHED = 100_000, 500_000
+#: Words of texts handled at once, words of a block's texts at most (or one text), and matches of shingles counted at once.
+WORDS_AT_ONCE, BLOCK_WORDS, MATCHES = 100_000, 300_000, 2_000_000
 
 _GOLDEN, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambler of 64-bit words."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Words(Memo):
-    def missing(self, word: str) -> int:
-        return xxhash.xxh3_64_intdigest(word)
-
+def bags(batch: pa.RecordBatch, name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its shingle hashes in ascending order and their counts."""
+    for part in slices(batch, name):
+        flat, sizes = words(part, name)
+        h, at = word_hashes(flat), 0
+        for n in sizes.tolist():
+            yield bag(h[at : at + n])
+            at += n
 
-_WORDS = _Words(CACHED)
 
-
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes in ascending order and their counts."""
-    w = np.array(list(map(_WORDS.__getitem__, text.lower().split())), np.uint64)
+def bag(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a text's word hashes."""
     if not len(w):
         return w, np.zeros(0, np.int64)
     k = min(SHINGLE, len(w))
@@ -135,25 +134,32 @@ def _keys() -> list[Column]:
 
 
 def _hash_bags(df: DataFrame) -> DataFrame:
-    """Adds _nd_keys, the bucket keys, null for an empty bag; _nd_weight, the bag's size; _nd_fold, its counts by hash class."""
+    """Adds _nd_keys, the bucket keys, null for an empty bag, and _nd_weight, the bag's size. Equal texts of a batch are hashed once."""
 
     def make():
         def run(batch):
-            whole, at, keys, weight, fold = texts(batch, "_nd_text"), 0, [], [], []
-            while at < len(whole):
-                bags, words = [], 0
-                while at < len(whole) and words < WORDS_AT_ONCE:
-                    bags.append(bag(whole[at]))
-                    words += int(bags[-1][1].sum())
-                    at += 1
-                keys += [k.tolist() if len(b[0]) else None for k, b in zip(bucket_keys(signatures(bags)), bags)]
-                weight += [int(b[1].sum()) for b in bags]
-                fold += [np.bincount((b[0] >> np.uint64(40)).astype(np.int64) % FOLDS, b[1], FOLDS).astype(np.int64).tolist() for b in bags]
-            return keys, weight, fold
+            known = batch.column(batch.schema.get_field_index("_nd_text")).dictionary_encode()
+            held, size, keys, weight = [], 0, [], []
+
+            def flush():
+                nonlocal size
+                keys.extend(k.tolist() if len(b[0]) else None for k, b in zip(bucket_keys(signatures(held)), held))
+                weight.extend(int(b[1].sum()) for b in held)
+                held.clear()
+                size = 0
+
+            for b in bags(pa.RecordBatch.from_arrays([known.dictionary], ["t"]), "t"):
+                held.append(b)
+                size += int(b[1].sum())
+                if size >= WORDS_AT_ONCE:
+                    flush()
+            if held:
+                flush()
+            return pa.array(keys, pa.list_(pa.int64())).take(known.indices), pa.array(weight, pa.int64()).take(known.indices)
 
         return run
 
-    return map_rows(df, make, fields("_nd_keys array<bigint>, _nd_weight bigint, _nd_fold array<int>"), keep=[c for c in df.columns if c != "_nd_text"], needs=["_nd_text"])
+    return map_rows(df, make, fields("_nd_keys array<bigint>, _nd_weight bigint"), keep=[c for c in df.columns if c != "_nd_text"], needs=["_nd_text"])
 
 
 def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -165,10 +171,11 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
         def run(batch):
             out = []
-            for a, x, y in zip(batch.column(0).to_pylist(), texts(batch, "ta"), texts(batch, "tb")):
+            ids, first = batch.column(0).to_pylist(), batch.column(batch.schema.get_field_index("ta"))
+            for k, (a, y) in enumerate(zip(ids, bags(batch, "tb"))):
                 if last[0] != a or last[1] is None:
-                    last[:] = a, bag(x)
-                out.append(similarity(last[1], bag(y)) >= SIMILAR)
+                    last[:] = a, next(bags(pa.RecordBatch.from_arrays([first.slice(k, 1)], ["t"]), "t"))
+                out.append(similarity(last[1], y) >= SIMILAR)
             return [out]
 
         return run
@@ -176,6 +183,83 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "ta", "tb"), make, fields("similar boolean"), keep=["a", "b"], needs=["ta", "tb"]).where("similar").select("a", "b")
 
 
+def elements(b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The bag as a set: 32 bits for each shingle and each time it occurs. Overlaps of sets are overlaps of bags, or by a chance of 2**-32 larger."""
+    first = b[1].cumsum() - b[1]
+    again = np.arange(int(b[1].sum())) - np.repeat(first, b[1])
+    return (mix(np.repeat(b[0], b[1]) + again.astype(np.uint64) * _GOLDEN) >> np.uint64(32)).astype(np.uint32)
+
+
+def block_links(x: list[dict], y: list[dict], main: int) -> list[tuple[int, int]]:
+    """Links between the texts of x outside the class main and those of y in other classes, one for each text and class. Texts: id, label, bag."""
+    x = [t for t in x if t["label"] != main]
+    if not x or not y:
+        return []
+    sets = [np.frombuffer(t["bag"], np.uint32) for t in y]
+    size = np.array([len(s) for s in sets])
+    whole = np.concatenate(sets)
+    order = np.argsort(whole, kind="stable")
+    whole, owner = whole[order], np.repeat(np.arange(len(y)), size)[order]
+    label = np.array([t["label"] for t in y])
+    out, at = [], 0
+    asked = [np.frombuffer(t["bag"], np.uint32) for t in x]
+    begin = [np.searchsorted(whole, s) for s in asked]
+    found = [np.searchsorted(whole, s, "right") - b for s, b in zip(asked, begin)]
+    matches = np.array([int(n.sum()) for n in found])
+    while at < len(x):
+        end = at + max(1, int(np.searchsorted(matches[at:].cumsum(), MATCHES, "right")))
+        n, b = np.concatenate(found[at:end]), np.concatenate(begin[at:end])
+        row = np.repeat(np.arange(end - at), [len(s) for s in asked[at:end]])
+        place = np.repeat(b - (n.cumsum() - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(np.repeat(row, n) * len(y) + owner[place], minlength=(end - at) * len(y)).reshape(end - at, len(y))
+        own = np.array([len(s) for s in asked[at:end]])
+        like = both * (1 + SIMILAR) >= SIMILAR * (own[:, None] + size) - 1e-6
+        mine = np.array([t["label"] for t in x[at:end]])[:, None]
+        like &= (label != mine) & ((label == main) | (mine < label)) & (both > 0)
+        for i in np.flatnonzero(like.any(1)).tolist():
+            near = np.flatnonzero(like[i])
+            for j in near[np.unique(label[near], return_index=True)[1]].tolist():
+                out.append((x[at + i]["id"], y[j]["id"]))
+        at = end
+    return out
+
+
+def _rest_links(large: DataFrame, label: DataFrame, whole: DataFrame, name: str) -> DataFrame:
+    """(a, b) in different classes, of one bucket, with similar bags: all such pairs of texts and classes. large: h, band, id, weight, of buckets of three
+    texts or more."""
+    rest = large.where(F.col("band") < REST).join(label, "id", "left").select("h", "id", "weight", F.coalesce("label", "id").alias("label"))
+    rest = materialise(rest, f"{name}-rest")
+    sums = rest.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    buckets = sums.groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_WORDS)).cast("int")
+    buckets = materialise(buckets.where("classes > 1").select("h", "main", parts.alias("parts")), f"{name}-mixed")
+    rest = materialise(rest.join(buckets, "h").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), f"{name}-apart")
+    wanted = whole.join(rest.select("id").distinct(), "id", "left_semi")
+
+    def make():
+        return lambda batch: [[elements(b).tobytes() for b in bags(batch, "t")]]
+
+    packed = materialise(map_rows(wanted, make, fields("bag binary"), keep=["id"], needs=["t"]), f"{name}-bags")
+    text = F.struct("id", "label", "bag")
+    blocks = rest.join(packed, "id").groupBy("h", "part").agg(F.first("main").alias("main"), F.first("parts").alias("parts"), F.collect_list(text).alias("x"))
+    blocks = materialise(blocks, f"{name}-blocks")
+    # a block of one bucket's outsiders meets every block of that bucket, in tasks of their own
+    many = blocks.where("parts > 1")
+    asks = many.where(F.exists("x", lambda t: t["label"] != F.col("main"))).select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", F.filter("x", lambda t: t["label"] != F.col("main")).alias("x"))
+    both = asks.join(many.select("h", "part", F.col("x").alias("y")), ["h", "part"]).select("main", "x", "y")
+    alone = blocks.where("parts = 1").select("main", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                main, x, y = (batch.column(j)[k].as_py() for j in range(3))
+                out += block_links(x, x if y is None else y, main)
+            yield pa.RecordBatch.from_pydict({"a": [min(p) for p in out], "b": [max(p) for p in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return materialise(alone.mapInArrow(run, "a long, b long").union(both.mapInArrow(run, "a long, b long")).distinct(), f"{name}-more")
+
+
 def _components(links: DataFrame, name: str) -> DataFrame:
     """(id, label) of every node with a link: the smallest node that links lead to. Labels sink along links and jump to their own labels' labels
     until none changes."""
@@ -196,9 +280,9 @@ def _nodes(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFr
     rows = df.select(F.col(id_col).cast("long").alias("_nd_id"), _text(text_col))
     rows = rows.select("_nd_id", "_nd_text", *_keys())
     hashed = _hash_bags(rows)
-    nodes = hashed.groupBy("_nd_k1", "_nd_k2").agg(F.min("_nd_id").alias("first"), F.first("_nd_keys").alias("keys"), F.first("_nd_weight").alias("weight"), F.first("_nd_fold").alias("fold"))
+    nodes = hashed.groupBy("_nd_k1", "_nd_k2").agg(F.min("_nd_id").alias("first"), F.first("_nd_keys").alias("keys"), F.first("_nd_weight").alias("weight"))
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), f"{name}-nodes")
-    member = nodes.select("id", F.explode("keys").alias("h"))
+    member = nodes.select("id", "weight", F.posexplode("keys").alias("band", "h"))
     buckets = member.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     buckets = materialise(buckets.where("n > 1"), f"{name}-buckets")
     large = materialise(member.join(buckets.where("n > 2").select("h", "low"), "h"), f"{name}-members")
@@ -215,32 +299,15 @@ def _nodes(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFr
     links = materialise(_verified(pairs, whole), f"{name}-links")
     label = _components(links, name)
 
-    # what is left: members of one bucket in different classes. Rows outside the bucket's first class meet all others; the pair must share AGREE
-    # buckets and pass two bounds that no similar pair fails, and comes up in its smallest shared bucket only
-    rest = large.join(label, "id", "left").select("h", "id", F.coalesce("label", "id").alias("label"))
-    mixed = rest.groupBy("h").agg(F.min("label").alias("main"), F.max("label").alias("most")).where("main < most").select("h", "main")
-    rest = materialise(rest.join(mixed, "h"), f"{name}-rest").join(nodes.select("id", "keys", "weight", "fold"), "id")
-    a = rest.where("label <> main").select("h", "main", *[F.col(c).alias(f"a_{c}") for c in ("id", "label", "keys", "weight", "fold")])
-    b = rest.select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "label", "keys", "weight", "fold")])
-    shared = F.array_intersect("a_keys", "b_keys")
-    most = F.aggregate(F.zip_with("a_fold", "b_fold", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    may = (
-        (F.col("a_label") != F.col("b_label"))
-        & ((F.col("b_label") == F.col("main")) | (F.col("a_label") < F.col("b_label")))
-        & (F.least("a_weight", "b_weight") >= SIMILAR * F.greatest("a_weight", "b_weight"))
-        & (F.size(shared) >= AGREE)
-        & (F.array_min(shared) == F.col("h"))
-        & (most * (1 + SIMILAR) >= SIMILAR * (F.col("a_weight") + F.col("b_weight")) - 1e-6)
-    )
-    more = a.join(b.withColumnRenamed("h", "b_h"), (F.col("h") == F.col("b_h")) & may).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
-    more = materialise(more.join(pairs, ["a", "b"], "left_anti"), f"{name}-more")
+    more = _rest_links(large, label, whole, name)
     found = materialise(_verified(more, whole), f"{name}-more-links")
     if not found.isEmpty():
         label = _components(links.union(found), f"{name}-all")
     classed = nodes.select("_nd_k1", "_nd_k2", "first", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     classed = materialise(classed, f"{name}-classed")
+    # written, so that Spark can split the join at a class of very many texts
     least = classed.groupBy("label").agg(F.min("first").alias("class_id"), F.min_by("id", F.struct(F.coalesce("first", F.lit(2**63 - 1)), "id")).alias("stays"))
-    return materialise(classed.join(least, "label"), f"{name}-classes"), rows
+    return materialise(classed.join(materialise(least, f"{name}-least"), "label"), f"{name}-classes"), rows
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "neardup") -> DataFrame:
