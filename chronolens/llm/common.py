@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 #: Rows handed to a mapper at once, and bytes of text worked on at once (or one longer text); both bound what is alive in a worker.
 ROWS_PER_CALL, BYTES_AT_ONCE = 512, 2 << 20
 
+#: Characters of the longest key that a worker's map keeps.
+LONG = 256
+
 _KEPT: dict = {}
 
 
@@ -59,21 +62,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     The files go when the driver's process ends.
     """
+    return _written(df, name, None)
+
+
+def materialise_parts(df: DataFrame, name: str, by: str) -> tuple[DataFrame, str]:
+    """The same in a folder for each value of the column by, so that remove() can drop f"{path}/{by}={value}" once nothing reads it any more; and the path."""
+    out = _written(df, name, by)
+    return out, out.inputFiles()[0].split(f"/{by}=")[0] if out.inputFiles() else ""
+
+
+def _written(df: DataFrame, name: str, by: str | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
 def sweep(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps that nothing refers to any more; it does so when the driver's garbage is collected."""
     gc.collect()
+    spark.range(1, numPartitions=1).count()  # the scheduler keeps its last job until the next
     spark.sparkContext._jvm.System.gc()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that materialise() wrote."""
     try:
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)
@@ -227,6 +242,8 @@ class Memo(dict):
         v = self.old.get(key)
         if v is None:
             v = self.missing(key)
+            if isinstance(key, (str, bytes)) and len(key) > LONG:
+                return v
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -17,19 +17,21 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, map_rows, texts
+from .common import fields, kept, map_rows, slices, texts, words
 
 UNDETERMINED = "und"
 #: Labelled texts of each language that the counts come from, smoothing, cost in nats of a change of language, share of a language's letters from
-#: which a script counts as its own, cost of a language that doesn't use a word's script, and words that a worker keeps scores of.
-PER_LANGUAGE, SMOOTH, SWITCH, SCRIPT_SHARE, FOREIGN, CACHED = 600, 0.5, 25.0, 0.01, 30.0, 600_000
+#: which a script counts as its own, and cost of a language that doesn't use a word's script.
+PER_LANGUAGE, SMOOTH, SWITCH, SCRIPT_SHARE, FOREIGN = 600, 0.5, 25.0, 0.01, 30.0
 
 # Code point ranges of scripts (first, last, name).
 SCRIPTS = [
@@ -44,162 +46,233 @@ SCRIPTS = [
 ]
 
 
-class _ScriptOf(dict):
-    """letter -> script, looked up in the ranges once for each letter."""
+class _Points:
+    """What is known of every code point: whether it is a letter, and its script (0: other)."""
 
-    def __missing__(self, letter: str) -> str:
-        c = ord(letter)
-        self[letter] = name = next((name for a, b, name in SCRIPTS if a <= c <= b), "other")
-        return name
+    def __init__(self) -> None:
+        self.letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        self.script = np.zeros(0x110000, np.uint8)
+        for a, b, name in SCRIPTS:
+            self.script[a : b + 1] = NAMES.index(name)
 
 
-script_of = _ScriptOf().__getitem__
+NAMES = ["other", *dict.fromkeys(name for _, _, name in SCRIPTS)]
+
+
+@lru_cache(maxsize=1)
+def points() -> _Points:
+    """One a process."""
+    return _Points()
 
 
 def letters_of(token: str) -> str:
     return token.lower() if token.isalpha() else "".join(filter(str.isalpha, token)).lower()
 
 
-def grams(word: str) -> Iterable[str]:
+def grams(word: str) -> list[str]:
+    """The word's letters, then its 2- and 3-grams with a mark at each end."""
     w = f"^{word}$"
-    yield from word
-    yield from map("".join, zip(w, w[1:]))
-    yield from map("".join, zip(w, w[1:], w[2:]))
+    return [*word, *map("".join, zip(w, w[1:])), *map("".join, zip(w, w[1:], w[2:]))]
 
 
 class Model:
-    """langs; rows: n-gram -> its log probabilities by language; unseen: those of an unknown n-gram; scripts: script -> which languages use it."""
+    """langs; table: log probabilities of n-grams (rows) by language, row 0 that of an n-gram never seen; scripts: which languages use a script.
+
+    N-grams are numbers: symbols (1 is the mark at a word's start, 2 that at its end, then the learned letters in order) as digits, the last one lowest.
+    """
 
     def __init__(self, counts: dict[str, Counter]) -> None:
         self.langs = sorted(counts)
         by_gram: dict[str, list[float]] = {}
-        script_letters = []
+        letters = np.zeros((len(self.langs), len(NAMES)))
         for k, lang in enumerate(self.langs):
-            letters: Counter = Counter()
             for word, n in counts[lang].items():
                 for c in word:
-                    letters[script_of(c)] += n
+                    letters[k, points().script[ord(c)]] += n
                 for g in grams(word):
                     by_gram.setdefault(g, [0.0] * len(self.langs))[k] += n
-            script_letters.append(letters)
         total = [sum(row[k] for row in by_gram.values()) + SMOOTH * (len(by_gram) + 1) for k in range(len(self.langs))]
-        #: n-gram -> row of the table of its log probabilities by language; row 0 is that of an n-gram never seen
-        self.row = {g: k for k, g in enumerate(by_gram, 1)}
         self.table = np.array([[math.log(SMOOTH / t) for t in total], *[[math.log((n + SMOOTH) / t) for n, t in zip(row, total)] for row in by_gram.values()]]).reshape(len(by_gram) + 1, len(self.langs))
-        self.scripts: dict[str, np.ndarray] = {}
-        for s in {s for letters in script_letters for s in letters}:
-            uses = np.array([x[s] >= SCRIPT_SHARE * sum(x.values()) for x in script_letters])
-            if uses.any():
-                self.scripts[s] = uses
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Words by languages."""
-        get, rows, ends = self.row.get, [], []
-        for word in words:
-            rows.extend(map(get, grams(word)))
-            ends.append(len(rows))
-        at = np.array([0 if r is None else r for r in rows], np.int64)
-        out = np.add.reduceat(self.table[at], [0, *ends[:-1]], axis=0)
-        for k, word in enumerate(words):
-            found = set(map(script_of, word))
-            script = found.pop() if len(found) == 1 else Counter(map(script_of, word)).most_common(1)[0][0]
-            if (uses := self.scripts.get(script)) is not None and not uses.all():
-                out[k, ~uses] -= FOREIGN
+        uses = letters >= SCRIPT_SHARE * letters.sum(1, keepdims=True)
+        #: languages that use a script, by script; all for a script that none uses
+        self.scripts = np.where(uses.any(0), uses & (letters > 0), True).T
+        self.letters = np.array(sorted({ord(c) for word in chain.from_iterable(counts.values()) for c in word}), np.int64)
+        symbol = {c: k for k, c in enumerate(["^", "$", *map(chr, self.letters.tolist())], 1)}
+        self.base = len(symbol) + 1
+        code = np.zeros(len(by_gram), np.int64)
+        for k, g in enumerate(by_gram):
+            for at, c in enumerate(g):
+                # a mark stands first or last of two or more; elsewhere the character is a letter
+                code[k] = code[k] * self.base + (symbol[c] if len(g) > 1 and (at == 0 and c == "^" or at == len(g) - 1 and c == "$") else 3 + int(np.searchsorted(self.letters, ord(c))))
+        # open addressing: rows of the table by code, a quarter full at most
+        self.bits = max(4, (4 * len(code)).bit_length())
+        self.codes, self.rows = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        todo = np.arange(len(code))
+        place = self._place(code)
+        while len(todo):
+            free = self.codes[place] < 0
+            first = np.unique(np.where(free, place, -1), return_index=True)
+            put = first[1][first[0] >= 0]
+            self.codes[place[put]], self.rows[place[put]] = code[todo[put]], todo[put] + 1
+            left = np.ones(len(todo), bool)
+            left[put] = False
+            todo, place = todo[left], (place[left] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def row_of(self, code: np.ndarray) -> np.ndarray:
+        """Rows of the table; 0 for unknown n-grams and for a negative code."""
+        place, out = self._place(code), np.zeros(len(code), np.int64)
+        on = np.flatnonzero(code >= 0)
+        place = place[on]
+        while len(on):
+            there = self.codes[place]
+            hit = there == code[on]
+            out[on[hit]] = self.rows[place[hit]]
+            more = ~hit & (there >= 0)
+            on, place = on[more], (place[more] + 1) & ((1 << self.bits) - 1)
         return out
 
-
-class Labeller:
-    """A model with the scores of the words seen lately."""
-
-    def __init__(self, model: Model) -> None:
-        self.m, self.place, self.used = model, {}, 1
-        self.table = np.zeros((1024, len(model.langs)))  # row 0: no letter, no say
-        self.size = np.zeros(1024, np.int32)
-
-    def learn(self, tokens: Iterable[str]) -> None:
-        """Scores of the tokens that have none yet, all at once."""
-        if self.used > CACHED:
-            self.place, self.used = {}, 1
-        new = [t for t in set(tokens) if t not in self.place]
-        words = [letters_of(t) for t in new]
-        self.place.update((t, 0) for t, w in zip(new, words) if not w)
-        pairs = [(t, w) for t, w in zip(new, words) if w]
-        if not pairs:
-            return
-        stop = self.used + len(pairs)
-        if stop > len(self.table):
-            grow = max(stop, 2 * len(self.table)) - len(self.table)
-            self.table = np.concatenate([self.table, np.zeros((grow, self.table.shape[1]))])
-            self.size = np.concatenate([self.size, np.zeros(grow, np.int32)])
-        self.table[self.used : stop] = self.m.scores([w for _, w in pairs])
-        self.size[self.used : stop] = [len(w) for _, w in pairs]
-        self.place.update((t, self.used + k) for k, (t, _) in enumerate(pairs))
-        self.used = stop
-
-    def path(self, scores: np.ndarray) -> np.ndarray:
-        """The language of each word on the best path."""
-        total = scores.sum(0)
-        best = int(total.argmax())
-        if scores.shape[1] == 1:
-            return np.zeros(len(scores), np.int64)
-        rest = np.delete(scores, best, 1).max(1) - scores[:, best]
-        run = np.concatenate([[0.0], rest.cumsum()])
-        if (run - np.minimum.accumulate(run)).max() <= SWITCH:
-            return np.full(len(scores), best, np.int64)
-        n, width = scores.shape
-        back = np.zeros((n, width), np.int64)
-        now = scores[0].copy()
-        stay = np.arange(width)
-        for t in range(1, n):
-            top = int(now.argmax())
-            switch = now[top] - SWITCH
-            back[t] = np.where(now >= switch, stay, top)
-            now = np.maximum(now, switch) + scores[t]
-        out = np.empty(n, np.int64)
-        out[-1] = now.argmax()
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
-        return out
-
-    def label(self, text: str, with_spans: bool = True) -> tuple[str, float, list[dict]]:
-        """The language with the most letters on the best path; that share times the language's share of the mean word's likelihood; the spans in
-        code points, from a stretch's first word to its last."""
-        return self.labels([text], with_spans)[0]
-
-    def labels(self, whole: list[str], with_spans: bool = True) -> list[tuple[str, float, list[dict]]]:
-        each = [t.split() for t in whole]
-        if not self.m.langs:
-            return [(UNDETERMINED, 0.0, [])] * len(whole)
-        self.learn(chain.from_iterable(each))
-        return [self._label(x, t, with_spans) for x, t in zip(whole, each)]
-
-    def _label(self, text: str, tokens: list[str], with_spans: bool) -> tuple[str, float, list[dict]]:
-        if not tokens:
-            return UNDETERMINED, 0.0, []
-        at = np.array(list(map(self.place.__getitem__, tokens)), np.int64)
-        at_word = at[at > 0]
-        if not len(at_word):
-            return UNDETERMINED, 0.0, []
-        scores, sizes = self.table[at_word], self.size[at_word]
-        path = self.path(scores)
-        weight = np.bincount(path, weights=sizes, minlength=len(self.m.langs))
-        best = int(weight.argmax())
-        mean = scores[path == best].mean(0)
-        sure = 1.0 / float(np.exp(np.clip(mean - mean[best], None, 50.0)).sum())
-        spans = self._spans(text, at, path) if with_spans else []
-        return self.m.langs[best], float(weight[best] / weight.sum()) * min(1.0, sure), spans
-
-    def _spans(self, text: str, at: np.ndarray, path: np.ndarray) -> list[dict]:
-        out: list[dict] = []
-        langs = iter(path)
-        for k, m in enumerate(re.finditer(r"\S+", text)):
-            if k < len(at) and at[k]:
-                lang = self.m.langs[int(next(langs))]
-                if out and out[-1]["lang"] == lang:
-                    out[-1]["end"] = m.end()
-                else:
-                    out.append({"lang": lang, "start": m.start(), "end": m.end()})
-        return out
+    def scores(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Lower-case words -> their scores, words by languages, and their numbers of letters; a word without letters scores 0 everywhere."""
+        out, size = np.zeros((len(values), len(self.langs))), np.zeros(len(values), np.int64)
+        chars = np.frombuffer("".join(values.to_pylist()).encode("utf-32-le"), np.uint32)
+        own = np.repeat(np.arange(len(values)), pc.utf8_length(values).to_numpy(zero_copy_only=False))
+        on = points().letter[chars]
+        chars, own = chars[on], own[on]
+        if not len(chars):
+            return out, size
+        size = np.bincount(own, minlength=len(values))
+        word = np.flatnonzero(size)  # those with letters, in the order of own
+        n = size[word]
+        at = np.minimum(np.searchsorted(self.letters, chars), max(0, len(self.letters) - 1))
+        symbol = np.where(self.letters[at] == chars, at + 3, 0) if len(self.letters) else np.zeros(len(chars), np.int64)
+        # all words with their marks, one after the other
+        w = np.empty(len(symbol) + 2 * len(word), np.int64)
+        start = (n + 2).cumsum() - (n + 2)
+        inner = np.ones(len(w), bool)
+        inner[start] = inner[start + n + 1] = False
+        w[inner], w[start], w[start + n + 1] = symbol, 1, 2
+        two = w[:-1] * self.base + w[1:]
+        three = two[:-1] * self.base + w[2:]
+        known = w > 0
+        both = known[:-1] & known[1:]
+        pair_of = np.delete(np.arange(len(w) - 1), start[1:] - 1)  # not over a border of words
+        far = np.ones(len(w) - 2, bool)
+        far[start[1:] - 1] = far[start[1:] - 2] = False
+        triple_of = np.flatnonzero(far)
+        mine = np.repeat(np.arange(len(word)), n)
+        kinds = [(symbol, known[inner], mine), (two[pair_of], both[pair_of], np.repeat(np.arange(len(word)), n + 1)), (three[triple_of], (both[:-1] & known[2:])[triple_of], mine)]
+        total = np.zeros((len(word), len(self.langs)))
+        for code, whole, of in kinds:
+            row = self.row_of(np.where(whole, code, -1))
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(of, self.table[row, k], len(word))
+        script = points().script[chars]
+        first = n.cumsum() - n
+        main = script[first].astype(np.int64)
+        for k in np.flatnonzero(np.maximum.reduceat(script, first) != np.minimum.reduceat(script, first)).tolist():
+            main[k] = np.bincount(script[first[k] : first[k] + n[k]]).argmax()  # the script of most letters; of several, the first in the list
+        out[word] = total - np.where(self.scripts[main], 0.0, FOREIGN)
+        return out, size
+
+
+def best_path(scores: np.ndarray) -> np.ndarray:
+    """The language of each word on the best path."""
+    total = scores.sum(0)
+    best = int(total.argmax())
+    if scores.shape[1] == 1:
+        return np.zeros(len(scores), np.int64)
+    rest = np.delete(scores, best, 1).max(1) - scores[:, best]
+    run = np.concatenate([[0.0], rest.cumsum()])
+    if (run - np.minimum.accumulate(run)).max() <= SWITCH:
+        return np.full(len(scores), best, np.int64)
+    n, width = scores.shape
+    back = np.zeros((n, width), np.int64)
+    now = scores[0].copy()
+    stay = np.arange(width)
+    for t in range(1, n):
+        top = int(now.argmax())
+        switch = now[top] - SWITCH
+        back[t] = np.where(now >= switch, stay, top)
+        now = np.maximum(now, switch) + scores[t]
+    out = np.empty(n, np.int64)
+    out[-1] = now.argmax()
+    for t in range(n - 1, 0, -1):
+        out[t - 1] = back[t, out[t]]
+    return out
+
+
+def label(model: Model, batch: pa.RecordBatch, name: str, with_spans: bool = True) -> tuple[list, list, list]:
+    """Of each text the language with the most letters on the best path; that share times the language's share of the mean word's likelihood; the
+    spans in code points, from a stretch's first word to its last."""
+    langs, score, spans = [], [], []
+    for part in slices(batch, name):
+        found = _label(model, part, name, with_spans)
+        for out, x in zip((langs, score, spans), found):
+            out += x
+    return langs, score, spans
+
+
+def _label(model: Model, part: pa.RecordBatch, name: str, with_spans: bool) -> tuple[list, list, list]:
+    m, width = part.num_rows, len(model.langs)
+    langs, score, spans = [UNDETERMINED] * m, [0.0] * m, [[] for _ in range(m)]
+    flat, sizes = words(part, name)
+    if not width or not len(flat):
+        return langs, score, spans
+    known = flat.dictionary_encode()
+    each, letters = model.scores(known.dictionary)
+    token = known.indices.to_numpy(zero_copy_only=False)
+    doc, on = np.repeat(np.arange(m), sizes), letters[token] > 0
+    at, own = token[on], doc[on]
+    if not len(at):
+        return langs, score, spans
+    count = np.bincount(own, minlength=m)
+    docs = np.flatnonzero(count)
+    n = count[docs]
+    ends = n.cumsum()
+    begin, of = ends - n, np.repeat(np.arange(len(docs)), n)
+    s = each[at]
+    best = np.add.reduceat(s, begin, axis=0).argmax(1)
+    path = best[of]
+    if width > 1:
+        rows = np.arange(len(s))
+        other = s.copy()
+        other[rows, path] = -np.inf
+        rest = other.max(1) - s[rows, path]
+        run = rest.cumsum()
+        down = of * (2.0 * np.abs(run).max() + 1.0)  # each text starts below all before it, so that the running minimum is its own
+        gain = run - (np.minimum.accumulate(run - rest - down) + down)
+        # where no stretch gains a switch, to a rounding error, the best single language is the path
+        for d in np.flatnonzero(np.maximum.reduceat(gain, begin) > SWITCH - 0.01).tolist():
+            path[begin[d] : ends[d]] = best_path(s[begin[d] : ends[d]])
+    weight = np.bincount(of * width + path, letters[at], len(docs) * width).reshape(-1, width)
+    pick = weight.argmax(1)
+    chosen = path == pick[of]
+    mean = np.stack([np.bincount(of[chosen], s[chosen, k], len(docs)) for k in range(width)], 1) / np.bincount(of[chosen], minlength=len(docs))[:, None]
+    sure = 1.0 / np.exp(np.clip(mean - mean[np.arange(len(docs)), pick][:, None], None, 50.0)).sum(1)
+    share = weight[np.arange(len(docs)), pick] / weight.sum(1) * np.minimum(1.0, sure)
+    for d, k, x in zip(docs.tolist(), pick.tolist(), share.tolist()):
+        langs[d], score[d] = model.langs[k], x
+    if with_spans:
+        whole, first = texts(part, name), np.concatenate([[0], sizes.cumsum()])
+        for j, d in enumerate(docs.tolist()):
+            spans[d] = _spans(model.langs, whole[d], on[first[d] : first[d + 1]], path[begin[j] : ends[j]])
+    return langs, score, spans
+
+
+def _spans(langs: list[str], text: str, has_letters: np.ndarray, path: np.ndarray) -> list[dict]:
+    out: list[dict] = []
+    each = iter(path.tolist())
+    for has, m in zip(has_letters.tolist(), re.finditer(r"\S+", text)):
+        if has:
+            lang = langs[next(each)]
+            if out and out[-1]["lang"] == lang:
+                out[-1]["end"] = m.end()
+            else:
+                out.append({"lang": lang, "start": m.start(), "end": m.end()})
+    return out
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -210,38 +283,22 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         return Model({})
     part = F.coalesce(*[F.when(F.col("l") == F.lit(k), F.lit(min(1.0, PER_LANGUAGE / v))) for k, v in sorted(n.items())])
     low = F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < part * float(1 << 20)
-    words = rows.where(low).select("l", F.explode(F.split("t", r"\s+")).alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
+    sampled = rows.where(low).select("l", F.explode(F.split("t", r"\s+")).alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
     counts: dict[str, Counter] = {k: Counter() for k in n}
-    for r in words.toLocalIterator():
+    for r in sampled.toLocalIterator():
         if w := letters_of(r["w"]):
             counts[r["l"]][w] += r["n"]
     return Model(counts)
 
 
-_KEPT: dict = {}
-
-
-def _labeller(key: str, model: Model) -> Labeller:
-    """The worker's scores outlive a task."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Labeller(model)
-    return _KEPT[key]
-
-
 def identify(df: DataFrame, model: Model, text_col: str = "text", spans: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred, score and, if asked, spans array<struct<lang,start,end>>."""
     shared, key = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     out = fields("lang_pred string, score double" + ", spans array<struct<lang:string,start:bigint,end:bigint>>" * spans)
 
     def make():
-        labeller = _labeller(key, shared.value)
-
-        def run(batch):
-            found = labeller.labels(texts(batch, text_col), spans)
-            return ([f[0] for f in found], [f[1] for f in found], [f[2] for f in found])[: 2 + spans]
-
-        return run
+        model = kept(("language", key), lambda: shared.value)
+        return lambda batch: label(model, batch, text_col, spans)[: 2 + spans]
 
     return map_rows(df, make, out, keep=keep, needs=[text_col])
 
