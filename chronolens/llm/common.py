@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows handed to a mapper at once, and bytes of text worked on at once (or one longer text); both bound what is alive in a worker.
-ROWS_PER_CALL, BYTES_AT_ONCE = 512, 2 << 20
+ROWS_PER_CALL, BYTES_AT_ONCE = 512, 1 << 20
 
 #: Characters of the longest key that a worker's map keeps.
 LONG = 256
@@ -34,15 +34,14 @@ def kept(key: Hashable, make: Callable):
 
 
 def release() -> None:
-    """Gives the memory of earlier operators' tables back to the machine."""
-    if _KEPT:
-        _KEPT.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # only some C libraries have it
-            pass
+    """Gives the memory of earlier operators in this worker back to the machine."""
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:

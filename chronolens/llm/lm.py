@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_type, hashes, materialise, mix, slices, sweep, words
+from .common import arrow_type, hashes, materialise, materialise_parts, mix, remove, slices, sweep, words
 
 BITS, HASHES, WEIGHT, ADD = 16, 8, 0.7, 0.1
 #: Characters of text for each segment (a power of two of segments, between the two bounds), tokens a task holds before it hands their counts on, and
 #: tokens scored at once.
-CHARS, LEAST_SEGMENTS, MOST_SEGMENTS, HELD, CHUNK = 1 << 23, 64, 1 << 24, 1_000_000, 1_000_000
+CHARS, LEAST_SEGMENTS, MOST_SEGMENTS, HELD, CHUNK = 1 << 23, 64, 1 << 24, 2_000_000, 2_000_000
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -203,8 +203,8 @@ def _fill(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([v], t) for (k, v), t in zip(row.items(), kinds)})
 
 
-#: Rows of documents (seq), of chunks (hashes), and of what a chunk asks of a segment.
-_ASKED = "chunk long, n_tokens long, seq binary, hashes binary, segment int, words binary, pairs binary"
+#: Rows of documents (kind 0: seq), of chunks (1: hashes), and of what a chunk asks of a segment (2).
+_ASKED = "kind int, chunk long, n_tokens long, seq binary, hashes binary, segment int, words binary, pairs binary"
 
 
 def _ask(batches: Iterator[pa.RecordBatch], schema: pa.Schema, segments: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,8 @@ def _ask(batches: Iterator[pa.RecordBatch], schema: pa.Schema, segments: int, mo
     cut, chunk = Cut(segments), TaskContext.get().partitionId() << 32
     known, places, sizes_of, kept, held, words_held = [], [], [], [], 0, 0
 
-    def rows(n: int, **given) -> pa.RecordBatch:
+    def rows(kind: int, n: int, **given) -> pa.RecordBatch:
+        given["kind"] = [kind] * n
         return pa.RecordBatch.from_arrays([pa.array([chunk] * n, f.type) if f.name == "chunk" else pa.nulls(n, f.type) if f.name not in given else given[f.name] if isinstance(given[f.name], pa.Array) else pa.array(given[f.name], f.type) for f in schema], schema=schema)
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -226,12 +227,12 @@ def _ask(batches: Iterator[pa.RecordBatch], schema: pa.Schema, segments: int, mo
         for part in kept:
             own = range(at, at + part.num_rows)
             at += part.num_rows
-            yield rows(part.num_rows, id=part.column(0), train=part.column(1), n_tokens=sizes[own.start : own.stop], seq=[_planes(place[ends[k] - sizes[k] : ends[k]]) for k in own])
+            yield rows(0, part.num_rows, id=part.column(0), train=part.column(1), n_tokens=sizes[own.start : own.stop], seq=[_planes(place[ends[k] - sizes[k] : ends[k]]) for k in own])
         p = np.unique(pairs(h[at_word]))
         a, b = cut.ends(h), cut.ends(p)
-        yield rows(1, hashes=[h[np.argsort(rank)].tobytes()])
+        yield rows(1, 1, hashes=[h[np.argsort(rank)].tobytes()])
         full = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0)).tolist()
-        yield rows(len(full), segment=full, words=[_gaps(cut.word(h[a[k] : a[k + 1]])) for k in full], pairs=[_gaps(cut.pair(p[b[k] : b[k + 1]])) for k in full])
+        yield rows(2, len(full), segment=full, words=[_gaps(cut.word(h[a[k] : a[k + 1]])) for k in full], pairs=[_gaps(cut.pair(p[b[k] : b[k + 1]])) for k in full])
 
     for batch in batches:
         for part in slices(batch, "t"):
@@ -304,8 +305,8 @@ def _filled(rows: DataFrame, segments: int, name: str) -> DataFrame:
 
 
 def _answers(filled: DataFrame, asked: DataFrame, name: str) -> DataFrame:
-    """What the segments know of what was asked of them, written."""
-    wanted = asked.where("segment is not null").select("chunk", "segment", "words", "pairs")
+    """What the segments know of what was asked of them, written; asked are the rows of what chunks ask."""
+    wanted = asked.select("chunk", "segment", "words", "pairs")
     held = filled.select("segment", "words", "n", "bits", "top")
     answers = held.groupBy("segment").cogroup(wanted.groupBy("segment")).applyInArrow(_probe, "chunk long, segment int, counts binary, levels binary")
     return materialise(answers, f"{name}-answers")
@@ -324,11 +325,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: s
     made = T.StructType([rows.schema["id"], rows.schema["train"], *T.StructType.fromDDL(_ASKED)])
     schema = pa.schema([("id", to_arrow_type(made["id"].dataType)), *[(f.name, arrow_type(f.dataType)) for f in made.fields[1:]]])
     most = CHUNK
-    asked = materialise(rows.mapInArrow(lambda it: _ask(it, schema, segments, most), made), f"{name}-asked")
-    answers = _answers(filled, asked, name)
+    asked, path = materialise_parts(rows.mapInArrow(lambda it: _ask(it, schema, segments, most), made), f"{name}-asked", "kind")
+    answers = _answers(filled, asked.where("kind = 2"), name)
+    if path:  # no document, no folder
+        remove(spark, f"{path}/kind=2")
     sweep(spark)
-    known = answers.unionByName(asked.where("hashes is not null").select("chunk", "hashes"), allowMissingColumns=True)
-    docs = asked.where("seq is not null").select("chunk", "id", "train", "n_tokens", "seq")
+    known = answers.unionByName(asked.where("kind = 1").select("chunk", "hashes"), allowMissingColumns=True)
+    docs = asked.where("kind = 0").select("chunk", "id", "train", "n_tokens", "seq")
     scored = T.StructType([*made.fields[:2], *T.StructType.fromDDL("n_tokens long, n_known long, base double, score double")])
     out = docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_finish(n, v), scored)
     return out.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
