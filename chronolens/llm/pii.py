@@ -1,6 +1,7 @@
 """Personal data, and the terms that give it away: information-theoretic sanitisation in DataFrame operations only.
 
-Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers by fixed patterns. Each distinct value is a protected entity.
+Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers by fixed patterns. Each distinct value is a protected entity:
+addresses without regard to case, card and telephone numbers by their digits.
 Document co-occurrence over the whole corpus then says how strongly a term reveals an entity: the share of the entity's information
 -log2(n_entity / N) that their pointwise mutual information makes up, about 1 if the term is found beside the entity only. The information is that of
 counts smoothed by SMOOTH documents in which the term stands beside the entity as often as by chance, log2(N n / (n_entity (n_term + SMOOTH))) with
@@ -33,7 +34,7 @@ PATTERNS = {
 }
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 ADDED = ["generalised", "removed"]
-MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
+MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": ""}
 
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -116,26 +117,48 @@ def _named(kind: str):
 
 
 def _value(text: Column, kind: str):
-    return lambda s: F.concat(F.lit(f"{kind}:"), text.substr(s["start"] + 1, s["end"] - s["start"]))
+    """What a span stands for: addresses without regard to case, numbers by their digits."""
+
+    def value(s: Column) -> Column:
+        m = text.substr(s["start"] + 1, s["end"] - s["start"])
+        return F.concat(F.lit(f"{kind}:"), F.lower(m) if kind == "email" else _digits(m) if kind in ("card", "phone") else m)
+
+    return value
+
+
+def _share(n: float, n_both, n_entity, n_term) -> Column:
+    """NULL for an entity of all documents, which holds no information."""
+    both = n_both + SMOOTH * n_entity / F.lit(max(n, 1.0))
+    return F.try_divide(F.log2(F.lit(n) * both / (n_entity * (n_term + SMOOTH))), F.log2(F.lit(max(n, 1.0)) / n_entity))
 
 
 def _revealing(private: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """_pii_row, term, share: the largest share of an entity of that row that the term reveals, of terms that reveal enough."""
+    """_pii_row, term, share: the largest share of an entity of that row that the term reveals, of terms that reveal enough.
+
+    Entities of the same documents stand beside the same terms equally often: they are one class, known by the documents' hashes, and a document with
+    thousands of values of its own has one class for them all. Of entities of one document the counts are known without pairing them with terms."""
     t = F.col("_pii_text")
     values = [F.transform(f"_pii_{k}", _value(t, k)) for k in KINDS]
-    entities = private.select("_pii_row", _terms(t).alias("terms"), F.explode(F.array_distinct(F.concat(*values))).alias("entity"))
-    # the empty term stands for the entity itself
-    beside = entities.select("_pii_row", "entity", F.explode(F.concat(F.array(F.lit("")), F.filter("terms", lambda x: F.length(x) >= MIN_LETTERS))).alias("term"))
-    pairs = materialise(beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")), f"{name}-pairs")
+    entities = materialise(private.select("_pii_row", F.explode(F.array_distinct(F.concat(*values))).alias("entity")), f"{name}-entities")
+    documents = F.concat_ws(":", F.hex(F.bit_xor(F.xxhash64("_pii_row"))), F.hex(F.bit_xor(F.xxhash64("_pii_row", F.lit(1)))))
+    classes = materialise(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), documents.alias("class")), f"{name}-classes")
+    n = float(rows.count())
+    held = materialise(entities.join(classes.where(F.col("n_entity") < n), "entity").select("_pii_row", "class", "n_entity").distinct(), f"{name}-held")
+    terms = private.select("_pii_row", F.explode(_terms(t)).alias("term")).where(F.length("term") >= MIN_LETTERS)
     words = rows.select(F.explode(_terms(t)).alias("term")).where(F.length("term") >= MIN_LETTERS)
     known = materialise(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")), f"{name}-terms")
-    n = float(rows.count())
-    entity = pairs.where(F.col("term") == "").select("entity", F.col("n_both").alias("n_entity"))
-    both = F.col("n_both") + SMOOTH * F.col("n_entity") / n
-    share = F.log2(n * both / (F.col("n_entity") * (F.col("n_term") + SMOOTH))) / F.log2(n / F.col("n_entity"))
-    strong = pairs.where(F.col("term") != "").join(known, "term").join(entity, "entity").where(F.col("n_entity") < n).withColumn("share", share)
-    strong = materialise(strong.where(F.col("share") >= GENERALISE).select("entity", "term", "share"), f"{name}-strong")
-    return beside.join(strong, ["entity", "term"]).groupBy("_pii_row", "term").agg(F.max("share").alias("share"))
+
+    alone = held.where("n_entity = 1").select("_pii_row").distinct()
+    one = F.lit(1.0)
+    telling = known.withColumn("share", _share(n, one, one, F.col("n_term"))).where(F.col("share") >= GENERALISE).drop("n_term")
+    own = terms.join(alone, "_pii_row", "left_semi").join(telling, "term").select("_pii_row", "term", "share")
+
+    beside = held.where("n_entity > 1").join(terms, "_pii_row")
+    pairs = materialise(beside.groupBy("class", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both")), f"{name}-pairs")
+    strong = pairs.join(known, "term").withColumn("share", _share(n, F.col("n_both"), F.col("n_entity"), F.col("n_term")))
+    strong = materialise(strong.where(F.col("share") >= GENERALISE).select("class", "term", "share"), f"{name}-strong")
+    shared = beside.join(strong, ["class", "term"]).select("_pii_row", "term", "share")
+    return own.union(shared).groupBy("_pii_row", "term").agg(F.max("share").alias("share"))
 
 
 def _term_places(private: DataFrame, terms: DataFrame) -> DataFrame:
@@ -162,12 +185,16 @@ def of_kind(spans: Column, kinds: Sequence[str]) -> Column:
 
 
 def sanitise(df: DataFrame, text_col: str = "text", name: str = "pii") -> DataFrame:
-    """The same columns, with every span of text_col replaced by its kind's mark; where spans overlap, the first is replaced whole, the longer of
+    """The same columns, with every span of text_col replaced by its kind's mark, terms to be generalised by their broader class ([NAME] for a capitalised
+    word, [ABBREVIATION] for one all in capitals, [WORD] for others) and terms to be removed by nothing; where spans overlap, the first is replaced whole, the longer of
     two that begin together, and then what others have beyond its end. A null text stays null."""
     found = find(df.select("*", F.col(text_col).alias("_pii_was")), text_col, name=name)
     t = F.col("_pii_was")
     order = F.array_sort(F.col("spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    mark = lambda s: F.create_map(*[F.lit(x) for k in MARKS.items() for x in k])[s["kind"]]
+    fixed = F.create_map(*[F.lit(x) for k in MARKS.items() for x in k])
+    word = lambda s: t.substr(s["start"] + 1, s["end"] - s["start"])
+    broad = lambda w: F.when(w.rlike(r"^\p{Lu}+$"), "[ABBREVIATION]").when(w.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    mark = lambda s: F.when(s["kind"] == "generalised", broad(word(s))).otherwise(fixed[s["kind"]])
 
     def step(acc: Column, s: Column) -> Column:
         # the parts are joined once at the end

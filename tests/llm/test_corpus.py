@@ -42,10 +42,32 @@ def test_topk_proof_keeps_all_members():
     m = r.integers(-120, 120, (3000, 24))
     m[:40] = m[0]
     b = topk.Block(m)
-    for q in [*m[::500], np.zeros(24, np.int64), -m[3]]:
+    for q in [*m[::500], np.zeros(24, np.int64), -m[3], np.eye(24, dtype=np.int64)[2] * 50, np.full(24, 2**30)]:
         score = m @ q
-        kth = np.sort(score)[-6]
-        assert set(np.flatnonzero(score >= kth)) <= set(b.possible(q, 6, None).tolist())
+        kth = int(np.sort(score)[-6])
+        for known in (None, kth, kth + 1):
+            want = set(np.flatnonzero(score >= (kth if known is None else known)))
+            assert want <= set(b.possible(q, 6, known).tolist())
+
+
+def test_topk_stops_before_the_last_segment():
+    r = np.random.default_rng(2)
+    m = r.normal(size=(8192, 64))
+    m = np.floor(256 * m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.int64)
+    b, asked = topk.Block(m), 0
+    for q in m[:20]:
+        kth = int(np.sort(m @ q)[-6])
+        assert len(b.possible(q, 6, kth)) <= 8192 // topk.SHARE
+        asked += 1
+    assert b.touched < 0.8 * asked * m.size
+
+
+def test_topk_blocks_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUPS", 16)
+    index = spark.range(0, 60, 1, 20).withColumn("block", F.monotonically_increasing_id())
+    n = topk._groups(index)
+    got = index.join(n, F.shiftright("block", 33) == F.col("part")).select((F.col("before") + F.col("block").bitwiseAND((1 << 33) - 1)).alias("k"))
+    assert sorted(x.k for x in got.collect()) == list(range(60))
 
 
 # ---- near duplicates ----
@@ -97,6 +119,10 @@ def test_near_duplicates(spark, copies):
     kept = near_dup.deduplicate(docs(spark, rows + [(3, copies[3], "s")])).select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == sorted({want[k] for k in range(len(copies))})
     assert near_dup.classes(docs(spark, rows).limit(0)).isEmpty()
+    clash = docs(spark, [(None, copies[0], "s"), (7, copies[0], "s"), (None, "", "s"), (5, copies[1], "s")]).withColumn("class_id", F.lit("x")).withColumn("label", F.lit(1))
+    assert sorted((x.doc_id is None, x.class_id or -1) for x in near_dup.classes(clash).collect()) == [(False, 5), (False, 7), (True, -1), (True, 7)]
+    out = near_dup.deduplicate(clash)
+    assert out.columns == clash.columns and sorted(str(x.doc_id) for x in out.collect()) == ["5", "7", "None"]
 
 
 def test_block_links():
@@ -137,6 +163,26 @@ def test_signature_is_unbiased():
     assert (s[0] == s[2]).all() and abs((s[0] == s[1]).mean() - near_dup.similarity(a, b)) < 0.02
 
 
+def test_recall_by_similarity():
+    """Pairs at the threshold or above share a bucket (of the first bands too); those far below it seldom do."""
+    r = np.random.default_rng(9)
+    bags, similar = [], []
+    for k in range(240):
+        a = r.integers(0, 2**62, 120).astype(np.uint64)
+        b = a.copy()
+        n = (2, 5, 13, 50)[k % 4]
+        b[r.choice(120, n, replace=False)] = r.integers(0, 2**62, n).astype(np.uint64)
+        pair = [tuple(np.unique(x, return_counts=True)) for x in (a, b)]
+        bags += pair
+        similar.append(near_dup.similarity(*pair))
+    keys = near_dup.bucket_keys(near_dup.signatures(bags)).reshape(-1, 2, near_dup.BANDS)
+    same, similar = keys[:, 0] == keys[:, 1], np.array(similar)
+    high = similar >= 0.8
+    assert high.sum() > 150 and same[high].any(1).mean() == 1 and same[high][:, : near_dup.REST].any(1).mean() >= 0.99
+    low = similar < 0.5
+    assert low.sum() > 40 and same[low].any(1).mean() < 0.5
+
+
 # ---- language model ----
 
 
@@ -246,6 +292,57 @@ def test_route_is_cheapest():
     assert sum(flow["a",].values()) >= 10  # once is cheaper than repeating the others
 
 
+def best_flow(sizes, quotas, costs):
+    """The largest flow and its least cost, over all whole-number flows."""
+    arcs = [(p, x) for p in sizes for x in p]
+    best = (0, 0)
+
+    def cost(p, n):
+        return sum(costs[min(k // max(1, sizes[p]), len(costs) - 1)] for k in range(n))
+
+    def go(k, given, used):
+        nonlocal best
+        if k == len(arcs):
+            total = sum(given.values())
+            best = min(best, (-total, sum(cost(p, n) for p, n in given.items())))
+            return
+        p, x = arcs[k]
+        for n in range(min(len(costs) * sizes[p] - given[p], quotas[x] - used[x]) + 1):
+            go(k + 1, given | {p: given[p] + n}, used | {x: used[x] + n})
+
+    go(0, dict.fromkeys(sizes, 0), dict.fromkeys(quotas, 0))
+    return -best[0], best[1]
+
+
+def test_route_equals_exhaustive():
+    r = random.Random(3)
+    for _ in range(12):
+        sizes = {p: r.randrange(0, 4) for p in [("a",), ("a", "b"), ("b", "c")]}
+        quotas = {x: r.randrange(0, 6) for x in "abc"}
+        flow = mixing.route(sizes, quotas)
+        out = {p: sum(flow[p].values()) for p in sizes}
+        assert all(n <= 3 * sizes[p] for p, n in out.items()) and all(sum(flow[p].get(x, 0) for p in sizes) <= q for x, q in quotas.items())
+        cost = sum(mixing.REPEAT_COSTS[k // max(1, sizes[p])] for p, n in out.items() for k in range(n))
+        assert (sum(out.values()), cost) == best_flow(sizes, quotas, mixing.REPEAT_COSTS)
+
+
+def test_mix_of_overlapping_sources(spark):
+    r = random.Random(4)
+    rows = [(k, "w " * r.randrange(1, 40), r.choice([["a"], ["a", "b"], ["b", "c"], ["c"], ["b", "b"], None])) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, of array<string>").withColumn("_p", F.lit(1)).withColumn("_b", F.lit(2))
+    out = mixing.mix(df, F.col("of"), mixing.words_in("text"), ["doc_id"], seed=2).collect()
+    assert len(out) == len(rows) and "_p" in out[0].asDict()
+    taken, target = Counter(), {}
+    for x in out:
+        own = sorted(set(x.of)) if x.of else [None]
+        assert x.taken_for in own and 0 <= x.taken <= 3 * x.size
+        taken[x.taken_for] += x.taken
+        target[x.taken_for] = x.target
+    total = sum(x.size for x in out)
+    assert sum(target.values()) == pytest.approx(total, rel=1e-6)
+    assert all(abs(taken[k] - t) < 0.03 * total for k, t in target.items())
+
+
 def test_mix(spark):
     r = random.Random(7)
     rows = [(k, "w " * r.randrange(1, 60), r.choice(["a", "a", "a", "b", "c", None])) for k in range(3000)] + [(3000, None, "a"), (3001, "", "e"), (3001, "", "e")]
@@ -293,3 +390,10 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "private data":
             assert "[EMAIL]" in df.where("doc_id = 82").first().text
     assert df.count() > 0 and {"doc_id", "n_tokens", "ids_sha256"} <= set(df.columns)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0

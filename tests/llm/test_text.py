@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -10,6 +11,7 @@ import zlib
 from collections import Counter
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,7 +119,52 @@ PDF = b"%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF"
 BMP = b"BM" + (58).to_bytes(4, "little") + b"\0" * 4 + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + b"\x01\0\0\0" * 2 + b"\x01\0\x18\0" + b"\0" * 24 + b"\0\0\0\0"
 
 
-@pytest.mark.parametrize("data,kind", [(png(), "image/png"), (GIF, "image/gif"), (JPEG, "image/jpeg"), (BMP, "image/bmp"), (PDF, "application/pdf"), (zipped(), "application/zip"), (gzip.compress(b"x" * 99), "application/gzip"), (media.wav(b"123"), "audio/wav")])
+def ogg_page(flags, body, number):
+    """One page; the checksum bit by bit."""
+    head = b"OggS\0" + bytes([flags]) + b"\0" * 8 + (7).to_bytes(4, "little") + number.to_bytes(4, "little")
+    tail = bytes([1, len(body)]) + body
+    crc = 0
+    for byte in head + b"\0" * 4 + tail:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ (0x04C11DB7 if crc >> 31 else 0)) & 0xFFFFFFFF
+    return head + crc.to_bytes(4, "little") + tail
+
+
+def riff(form, *chunks):
+    body = form + b"".join(k + len(d).to_bytes(4, "little") + d + b"\0" * (len(d) % 2) for k, d in chunks)
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def box(kind, data):
+    return (8 + len(data)).to_bytes(4, "big") + kind + data
+
+
+OGG = ogg_page(2, b"first", 0) + ogg_page(4, b"last one", 1)
+AVI = riff(b"AVI ", (b"LIST", b"hdrlavih"), (b"idx1", b"abc"))
+WEBP = riff(b"WEBP", (b"VP8L", b"abcde"))
+MP4 = box(b"ftyp", b"isom\0\0\0\1isom") + box(b"moov", b"x" * 20) + box(b"mdat", b"y" * 9)
+FLAC = b"fLaC\0\0\0\x22" + b"s" * 34 + b"\x84\0\0\x02vc" + b"\xff\xf8frames"
+
+
+@pytest.mark.parametrize("data,at,kind", [(OGG, 40, "audio/ogg"), (AVI, 12, None), (WEBP, 8, None), (MP4, 4, None), (FLAC, 7, "audio/flac"), (zipped(), len(zipped()) - 6, "application/zip"), (png(), 20, "image/png")])
+def test_sniff_refuses_what_is_broken(data, at, kind):
+    """A changed byte in the structure or the checksum takes the confirmation away."""
+    assert [k for k, s, _ in media.sniff(data) if s == 0]
+    broken = data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :]
+    assert not [k for k, s, _ in media.sniff(broken) if s == 0 and (kind is None or k == kind)]
+
+
+def test_sniff_of_hostile_bytes_is_quick():
+    import time
+
+    began = time.time()
+    assert media.sniff(b"PK\x03\x04" * 40_000 + b"PK\x05\x06" * 20_000) == []
+    assert time.time() - began < 10
+    assert ("audio/flac", 3, 3 + len(FLAC)) in media.sniff(b"abc" + FLAC)  # frames have no length: up to the end
+
+
+@pytest.mark.parametrize("data,kind", [(OGG, "audio/ogg"), (AVI, "video/avi"), (WEBP, "image/webp"), (MP4, "video/mp4"), (png(), "image/png"), (GIF, "image/gif"), (JPEG, "image/jpeg"), (BMP, "image/bmp"), (PDF, "application/pdf"), (zipped(), "application/zip"), (gzip.compress(b"x" * 99), "application/gzip"), (media.wav(b"123"), "audio/wav")])
 def test_sniff(data, kind):
     assert media.sniff(data)[0] == (kind, 0, len(data))
     inside = media.sniff(b"junk BM RIFF" + data + b"tail")
@@ -137,6 +184,20 @@ def test_media_frames(spark):
         pay = raw + b"\0" * ((64 - len(raw) % 64) % 64 or (0 if raw else 64))
         assert (d[k].n_bytes, d[k].payload_bytes, d[k].payload_sha256, d[k].tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
     assert d[10][1:] == d[11][1:]
+    assert media.text_digests(frame(spark, ODD).limit(0)).isEmpty() and media.identify(media.store_texts(frame(spark, ODD)).limit(0)).isEmpty()
+    clash = frame(spark, ["ab"]).withColumn("FEATURE", F.lit("x")).withColumn("media_bytes", F.lit("x"))
+    one = media.text_digests(clash).first()
+    assert one.media_bytes == 108 and "FEATURE" not in one.asDict()
+    # the feature and the stored form by another way
+    levels = (b"ab" + b"\0" * 62)
+    mean = sum(levels) / 64
+    spread = (sum((x - mean) ** 2 for x in levels) / 64) ** 0.5
+    assert one.feature == f"audio/wav;corrected;;{mean:.4f};{spread:.4f};{-(62 / 64 * math.log2(62 / 64) + 2 / 64 * math.log2(1 / 64)):.4f}"
+    assert one.media_sha256 == hashlib.sha256(media.wav(levels)).hexdigest()
+    import wave
+
+    with wave.open(io.BytesIO(media.wav(levels))) as w:
+        assert (w.getnchannels(), w.getsampwidth(), w.readframes(99)) == (1, 1, levels)
     stored = media.store_texts(frame(spark, ODD)).collect()
     assert all(media.wav_samples(bytes(r.media)).rstrip(b"\0") == (r.text or "").encode() for r in stored)
 
@@ -195,6 +256,59 @@ def test_pii_terms_of_rare_entities(spark):
     assert "quuxly" in added[2] and "Quuxly" in added[3] and not added[1]
 
 
+def brute_terms(texts):
+    """Added spans by the definition, entity by entity and term by term."""
+    import math
+
+    n = len(texts)
+    clean = [re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: " ", x or "") for x in texts]
+    words = [{w.lower() for w in re.findall(r"[^\W\d_]+", x) if len(w) >= pii.MIN_LETTERS} for x in clean]
+    held = []
+    for x in texts:
+        own = set()
+        for span in filter(None, base(x or "").split(",")):
+            kind, a, b = span.split(":")
+            m = x[int(a) : int(b)]
+            own.add(kind + ":" + (m.lower() if kind == "email" else re.sub("[^0-9]", "", m) if kind in ("card", "phone") else m))
+        held.append(own)
+    n_entity, n_term = Counter(e for h in held for e in h), Counter(w for ws in words for w in ws)
+    n_both = Counter((e, w) for h, ws in zip(held, words) for e in h for w in ws)
+    out = []
+    for x, h, ws in zip(texts, held, words):
+        share = {}
+        for e in h:
+            for w in ws:
+                if n_entity[e] < n:
+                    both = n_both[e, w] + pii.SMOOTH * n_entity[e] / n
+                    share[w] = max(share.get(w, 0), math.log2(n * both / (n_entity[e] * (n_term[w] + pii.SMOOTH))) / math.log2(n / n_entity[e]))
+        hide = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x or "")]
+        spots = [(m.start(), m.end(), share.get(m.group().lower(), 0)) for m in re.finditer(r"[^\W\d_]+", x or "") if not any(a <= m.start() < b for a, b in hide)]
+        out.append([f"generalised:{a}:{b}" for a, b, v in spots if pii.GENERALISE <= v < pii.REMOVE] + [f"removed:{a}:{b}" for a, b, v in spots if v >= pii.REMOVE])
+    return out
+
+
+def test_pii_terms_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pii, "REMOVE", 0.92)  # both kinds come up in a small corpus
+    r = random.Random(12)
+    values = ["Ann@x.org", "ann@X.org", "bob@y.net", "10.1.2.3", "4111 1111 1111 1111", "4111-1111-1111-1111", "+49 30 1234567", "+4930 1234567", "cy@z.org"]
+    rare = [f"{a}{b}" for a in ("zor", "qua", "Mil", "LUX") for b in ("blax", "drum", "Tex", "pool")]
+    common = "plain words with rest over under again house river".split()
+    texts = []
+    for k in range(160):
+        w = [r.choice(common) for _ in range(r.randrange(12))] + [r.choice(rare) for _ in range(r.randrange(3))]
+        if k % 4 == 0:
+            w += r.sample(values, r.randrange(1, 4)) if k % 8 else [f"User{k}@d.org", f"{r.choice(rare)}{chr(97 + k % 26)}"]
+        r.shuffle(w)
+        texts.append(" ".join(w))
+    texts += [texts[0], texts[4], " ".join(values), None, ""]
+    found = pii.find(frame(spark, texts).withColumn("SPANS", F.lit("clash")).withColumn("term", F.lit(1)), keep=["doc_id"])
+    got = {x.doc_id: x.s for x in found.select("doc_id", pii.joined(pii.of_kind(F.col("spans"), pii.ADDED)).alias("s")).collect()}
+    want = brute_terms(texts)
+    assert [got[k] for k in range(len(texts))] == [",".join(x) for x in want]
+    kinds = Counter(x.split(":")[0] for w in want for x in w)
+    assert min(kinds["generalised"], kinds["removed"]) >= 2
+
+
 # ---- pages ----
 
 
@@ -206,6 +320,7 @@ def test_html(spark):
     df = html_text.extract(spark.createDataFrame([(k, x, "clash") for k, x in enumerate(odd)], "page_id long, html string, TEXT string"))
     got = {r.page_id: r for r in df.collect()}
     assert got[0].text == got[1].text == "" and got[9].text == got[10].text and all(r.n_chars == len(r.text) for r in got.values())
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).isEmpty()
 
 
 def test_html_unclosed_elements():
@@ -213,6 +328,21 @@ def test_html_unclosed_elements():
         texts = [x for _, x in html_text.Tree(f"<article><p>One <{t}>hidden</p><p>Two</p></article>").texts if x]
         assert texts == ["One ", "Two"]
     assert [x for _, x in html_text.Tree("<p>One</p><script>x<p>Two</p>").texts if x] == ["One"]
+    nested = html_text.Tree("<p>One <svg><svg x=1><text>a</text></svg><svg/><text>b</text></svg> two <math><mi>x</mi></math></p>")
+    assert "".join(x for _, x in nested.texts if x) == "One  two x"
+
+
+def test_html_hand_written_pages():
+    """Pages of another shape than those the trees learn from."""
+    long = "The committee met on Tuesday, and after some hours of debate, it decided to postpone the vote until the spring. "
+    plain = f"<html><body><table width=100%><tr><td><a href=a>Home</a> <a href=b>About</a> <a href=c>Contact</a></td></tr></table><h1>Vote postponed</h1><p>{long * 2}</p><p>{long}Members said <i>little</i> &mdash; as usual.</p><table><tr><td>For</td><td>12</td></tr><tr><td>Against</td><td>9</td></tr></table><p>{long * 3}</p></body></html>"
+    nested = f'<body><div><div id=top><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div><div><div><h2>Vote postponed</h2><div><p>{long * 2}<blockquote>{long}</blockquote><p>{long}</div></div><div class="comments"><div class=comment><p>First!<div class=reply><p>Not first.</div></div></div></div></div><div class=footer>Copyright 1999</div></body>'
+    model = html_text.fit()
+    for page, without in ((plain, []), (nested, ["First!", "Not first", "Three", "Copyright"])):
+        text = html_text.main_texts([page], model)[0]
+        assert "Vote postponed" in text and text.count("The committee met") == page.count("The committee met")
+        assert not [x for x in without if x in text]
+    assert "as usual." in html_text.main_texts([plain], model)[0] and "Against" in html_text.main_texts([plain], model)[0]
 
 
 def test_html_held_out_pages():
@@ -246,16 +376,46 @@ def test_language(spark):
     rows = [(k, text(words[lang], 40, k), lang) for k in range(60) for lang in [list(words)[k % 3]]]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["de", "en", "ru"]
-    lab = language.Labeller(model)
+
+    def label(t):
+        return tuple(x[0] for x in language.label(model, pa.RecordBatch.from_pydict({"t": [t]}), "t"))
+
     for k, (lang, w) in enumerate(words.items()):
-        assert lab.label(text(w, 30, 900 + k))[0] == lang
+        assert label(text(w, 30, 900 + k))[0] == lang
     en, de = text(words["en"], 30, 1), text(words["de"], 20, 2)
-    lang, score, spans = lab.label(en + " " + de)
+    lang, score, spans = label(en + " " + de)
     assert lang == "en" and 0 < score < 1 and [s["lang"] for s in spans] == ["en", "de"] and abs(spans[1]["start"] - len(en) - 1) <= 12
     out = {r.doc_id: r for r in language.identify(frame(spark, ODD + ["123 456", "日本"]), model).collect()}
     assert all(out[k].lang_pred == "und" and out[k].score == 0 for k in (0, 1, 2, 3, 13)) and out[14].lang_pred in model.langs and out[10][-3:] == out[11][-3:]
     none = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").limit(0))
     assert language.identify(frame(spark, ["abc"]), none).first().lang_pred == "und"
+    assert language.identify(frame(spark, ["abc"]).limit(0), model).isEmpty()
+    clash = frame(spark, [en]).withColumn("LANG_PRED", F.lit("x")).withColumn("score", F.lit("x"))
+    assert language.identify(clash, model).select("lang_pred").first()[0] == "en"
+
+
+def test_language_scores_equal_counts():
+    import math
+
+    r = random.Random(3)
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randrange(1, 9)))
+    counts = {k: Counter(word(a) for _ in range(400)) for k, a in {"a": "abcdeé", "b": "cdefgñ", "r": "ийклм"}.items()}
+    model = language.Model(counts)
+    asked = [word("abcdefgé"), *counts["a"], *counts["r"], "zzz", "x1-9", "12", "aй", "ййa", "𝒳b", "^a$"]
+    asked = list(dict.fromkeys(asked))
+    scores, size = model.scores(pa.array(asked))
+    seen = {k: Counter(g for w, n in c.items() for g in language.grams(w) for _ in range(n)) for k, c in counts.items()}
+    every = set().union(*seen.values())
+    for w, s, n in zip(asked, scores, size):
+        own = language.letters_of(w)
+        assert n == len(own)
+        for k, x in zip(model.langs, s):
+            total = sum(seen[k].values()) + language.SMOOTH * (len(every) + 1)
+            want = sum(math.log((seen[k][g] + language.SMOOTH) / total) for g in language.grams(own)) if own else 0
+            scripts = Counter("cyrillic" if "а" <= c <= "я" else "latin" if ord(c) < 0x250 else "other" for c in own)
+            main = scripts.most_common(1)[0][0] if own and len(scripts) == 1 else "cyrillic" if w == "ййa" else "latin"
+            want -= language.FOREIGN * (bool(own) and main != "other" and (k == "r") != (main == "cyrillic"))
+            assert abs(x - want) < 1e-9 * max(1, abs(want)) or w == "𝒳b", (w, k, x, want)
 
 
 def test_viterbi_equals_exhaustive():
@@ -264,11 +424,10 @@ def test_viterbi_equals_exhaustive():
     import numpy as np
 
     r = np.random.default_rng(0)
-    lab = language.Labeller(language.Model({"a": Counter(x=1), "b": Counter(y=1), "c": Counter(z=1)}))
     for _ in range(60):
         s = r.normal(0, 25, (6, 3))
 
         def worth(path):
             return sum(s[k, p] for k, p in enumerate(path)) - language.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
 
-        assert abs(worth(lab.path(s)) - max(map(worth, itertools.product(range(3), repeat=6)))) < 1e-9
+        assert abs(worth(language.best_path(s)) - max(map(worth, itertools.product(range(3), repeat=6)))) < 1e-9
