@@ -334,6 +334,18 @@ def pit_resid(spark, sf_dir):
     return _pit(spark, sf_dir)["resid"].select("timestamp", "asset", _r(F.col("resid")).alias("resid"))
 
 
+@_query(_PIT + " SELECT t, asset, 'ok' AS fit FROM betas")
+def pit_fits(spark, sf_dir):
+    """How the fit of each window with rows enough went."""
+    return _pit(spark, sf_dir)["fits"].select("t", "asset", "fit")
+
+
+@_query(_with(SEG) + f" SELECT ts AS t, row_number() OVER (ORDER BY ts) AS n, CASE WHEN count(ret) OVER w = 0 THEN 'incomplete_factors' WHEN count(ret) OVER w < {LEAST} THEN 'few_rows' ELSE 'ok' END AS state FROM f WINDOW w AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def pit_window_status(spark, sf_dir):
+    """What each rebalance time's window is good for."""
+    return _pit(spark, sf_dir)["status"].select("t", F.col("n").cast("long").alias("n"), "state")
+
+
 # rebalance times in the middle of months too: those aren't in the index and are dropped
 _OFF = "tt AS (SELECT DISTINCT ts AS t FROM f WHERE month(ts) IN (3, 9) UNION SELECT DISTINCT ts + INTERVAL 10 DAY FROM f WHERE month(ts) = 6)"
 
@@ -377,6 +389,12 @@ def lag_returns(spark, sf_dir):
     return reshape.lag(a, ["asset"], "ts", "ret", "before").select("ts", "asset", _r(F.col("before")).alias("before"))
 
 
+@_query(_with(SEG) + " SELECT ts, asset, round(ret - lag(ret) OVER (PARTITION BY asset ORDER BY ts), 6) + 0.0 AS change FROM a")
+def first_differences(spark, sf_dir):
+    a, _ = panels.segments(spark, sf_dir)
+    return reshape.difference(a, ["asset"], "ts", "ret", "change").select("ts", "asset", _r(F.col("change")).alias("change"))
+
+
 @_query(_with(SEG) + ", b AS (SELECT ts, asset, ret * CASE WHEN asset = 'BUILDING' AND month(ts) = 5 THEN NULL ELSE 0.5::DOUBLE END AS h FROM a) SELECT ts, round(sum(h), 6) + 0.0 AS total FROM b GROUP BY ts")
 def partial_factor_sum(spark, sf_dir):
     """Sums over what is there; missing only where all is missing."""

@@ -27,7 +27,7 @@ def exponential_weights(n: int, half_life: float | None = None, lambda_: float |
 
 
 def with_weights(df: DataFrame, order_col: str, half_life: float | None = None, lambda_: float | None = None, partition: list[str] | None = None, out: str = "weight") -> DataFrame:
-    """df with each row's weight, by its age within its partition."""
+    """df with each row's weight, by its age within its partition. Without a partition all rows are numbered in one task: for calendars, not panels."""
     lam = decay(half_life, lambda_)
     keys = [F.col(c) for c in partition or []]
     rows = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())

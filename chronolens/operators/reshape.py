@@ -73,6 +73,11 @@ def lag(df: DataFrame, by: Sequence[str], order: str, value: str, out: str, rows
     return df.withColumn(out, F.lag(value, rows).over(Window.partitionBy(*by).orderBy(order)))
 
 
+def difference(df: DataFrame, by: Sequence[str], order: str, value: str, out: str, rows: int = 1) -> DataFrame:
+    """The change since the row before; NULL where either is missing."""
+    return df.withColumn(out, F.col(value) - F.lag(value, rows).over(Window.partitionBy(*by).orderBy(order)))
+
+
 def last_dates(df: DataFrame, order: str, n: int) -> DataFrame:
     """Rows of the n latest dates."""
     latest = df.select(order).distinct().orderBy(F.col(order).desc()).limit(n)

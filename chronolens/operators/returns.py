@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import product
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +23,33 @@ def cumulative(df: DataFrame, by: Sequence[str], order: str, value: str, out: st
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson's of each ordered pair of columns over the rows where both have values, in one pass."""
-    pairs = list(product(columns, columns))
-    both = lambda a, b: F.when(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull(), F.lit(True))
-    one = df.agg(*[F.corr(F.when(both(a, b), F.col(f"`{a}`")), F.when(both(a, b), F.col(f"`{b}`"))).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    """Pearson's of each ordered pair of columns over the rows where both have values; NULL where one of them doesn't vary. Each task multiplies its rows as
+    matrices, after the columns' means are taken off, and hands on one row of sums for each pair."""
+    k = len(columns)
+    means = np.array([x or 0.0 for x in df.agg(*[F.avg(f"`{c}`").alias(f"c{j}") for j, c in enumerate(columns)]).first()])
+    i, j = np.tril_indices(k)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, ss, sxy = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64) - means
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(np.float64)
+            n += there.T @ there
+            s += x.T @ there
+            ss += (x * x).T @ there
+            sxy += x.T @ x
+        sums = [n[i, j], s[i, j], s[j, i], ss[i, j], ss[j, i], sxy[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, sums)], ["i", "j", *names])
+
+    cells = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{j}") for j, c in enumerate(columns)])
+    sums = cells.mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in names)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in names])
+    spread = lambda a, b: F.col("n") * F.col(a) - F.col(b) * F.col(b)
+    corr = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(spread("sxx", "sx") * spread("syy", "sy")))
+    labels = F.array(*[F.lit(c) for c in columns])
+    ways = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return sums.select(F.explode(ways).alias("w"), corr.alias("corr")).select(labels[F.col("w.i")].alias("a"), labels[F.col("w.j")].alias("b"), "corr")
 
 
 def variance_shares(df: DataFrame, columns: Sequence[str], total: str) -> DataFrame:

@@ -325,6 +325,38 @@ def test_result_sinks(spark, tmp_path):
 # ---- plans, faults and as-of lookups ----
 
 
+def test_correlations_equal_numpy(spark):
+    r = rng(8)
+    x = r.normal(0, 1, (300, 7)) @ r.normal(0, 1, (7, 7)) + 1e4
+    x[r.random(x.shape) < 0.2] = np.nan
+    x[:, 6] = 2.0
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcdef") + ["const.col"])).repartition(5)
+    df = nan_to_null(df)
+    got = {(q.a, q.b): q.corr for q in returns.correlations(df, df.columns).collect()}
+    assert len(got) == 49 and all(got[a, "const.col"] is None for a in "abcdef")
+    for i, a in enumerate("abcdef"):
+        for j, b in enumerate("abcdef"):
+            on = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert abs(got[a, b] - np.corrcoef(x[on, i], x[on, j])[0, 1]) < 1e-9
+    assert {q.corr for q in returns.correlations(df.limit(0), ["a", "b"]).collect()} <= {None}
+
+
+def test_edges_of_the_panel(spark):
+    """Rebalance times before all data, an asset without a value, rows in any order, inputs left as they are."""
+    assets, factors = make(n=30, holes=False)
+    a, f = panel(spark, {**assets, "GONE": np.full(30, np.nan)}, factors)
+    early = spark.createDataFrame([(DAY[0] - timedelta(days=9),)], "t timestamp_ntz")
+    out = pit_robust_betas(a, f, half_life=15, min_timestamps=12, rebalance=early)
+    assert out["betas"].where("beta is not null").isEmpty() and out["resid"].where("resid is not null").isEmpty()
+    columns = a.columns
+    one = pit_robust_betas(a, f, half_life=15, min_timestamps=12)["betas"]
+    two = pit_robust_betas(a.orderBy(F.rand(3)).repartition(3), f.orderBy(F.rand(4)), half_life=15, min_timestamps=12)["betas"]
+    key = lambda df: sorted((x.timestamp, x.factor, x.asset, None if x.beta is None else round(x.beta, 10)) for x in df.collect())
+    assert key(one) == key(two) and a.columns == columns
+    gone = [x for x in key(one) if x[2] == "GONE"]
+    assert gone and all(x[3] is None for x in gone)
+
+
 def test_plan_reads_its_panel_once(spark, tmp_path):
     assets, factors = make(n=40, holes=False)
     a, f = panel(spark, assets, factors)
