@@ -205,16 +205,15 @@ def _pdf(d: bytes, at: int):
     return ("application/pdf", end + 5) if end >= 0 and d.rfind(b"startxref", at, end) >= 0 else None
 
 
-def _zip(d: bytes, at: int):
-    p = at
-    while (p := d.find(b"PK\x05\x06", p + 1)) >= 0:
-        if p + 22 > len(d):
-            return None
+def _zip_ends(d: bytes) -> dict[int, int]:
+    """Start -> end of the archives whose end records are in d: each record says how far before it its archive begins. One pass, however many entries."""
+    out, p = {}, -1
+    while (p := d.find(b"PK\x05\x06", p + 1)) >= 0 and p + 22 <= len(d):
         n, size, offset = struct.unpack_from("<HII", d, p + 10)
-        end = p + 22 + int.from_bytes(d[p + 20 : p + 22], "little")
-        if at + offset + size == p and end <= len(d) and (n == 0 or d[at + offset : at + offset + 4] == b"PK\x01\x02"):
-            return ("application/zip", end)
-    return None
+        at, end = p - offset - size, p + 22 + int.from_bytes(d[p + 20 : p + 22], "little")
+        if at >= 0 and end <= len(d) and (n == 0 or d[at + offset : at + offset + 4] == b"PK\x01\x02"):
+            out.setdefault(at, end)
+    return out
 
 
 def _gzip(d: bytes, at: int):
@@ -233,7 +232,7 @@ def _gzip(d: bytes, at: int):
     return ("application/gzip", at) if z.eof else None
 
 
-VALIDATORS = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "riff": _riff, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip}
+VALIDATORS = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "image/bmp": _bmp, "riff": _riff, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4, "application/pdf": _pdf, "application/gzip": _gzip}
 
 
 @lru_cache(maxsize=1)
@@ -249,11 +248,17 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """The confirmed media in data as (kind, start, end), by start; media inside a confirmed one's span are listed too, but not in a RIFF's,
     ZIP's or gzip's own chunks that repeat its signature (a validator starts there as anywhere and must confirm)."""
     best: dict[int, tuple[int, str]] = {}
+    zips: dict[int, int] | None = None
     for last, (back, kind) in _automaton().iter(data.decode("latin-1")):
         start = last - back
         if start < 0 or (kind == "audio/ogg" and any(k == kind and s < start < e for s, (e, k) in best.items())):
             continue
-        if found := VALIDATORS[kind](data, start):
+        if kind == "application/zip":
+            zips = _zip_ends(data) if zips is None else zips
+            found = (kind, zips[start]) if start in zips else None
+        else:
+            found = VALIDATORS[kind](data, start)
+        if found:
             kind, end = found
             if start not in best or (-end, kind) < (-best[start][0], best[start][1]):
                 best[start] = (end, kind)
