@@ -6,8 +6,9 @@ tokens each pattern gives to each source. Every document of a pattern is then ta
 in the order of a seeded hash once more until the rest is met to within 1 / BUCKETS of the pattern or a document.
 
 A null source is a source of its own, after all others. A null size counts as 0. Sources whose documents are all empty have target 0. Rows that
-are equal in every column get equal decisions, as do all reruns. An empty table gives an empty table. Only pattern and source totals reach the driver: more than MAX_PATTERNS patterns raise ValueError. Input columns pass through
-unless an output column has their name.
+are equal in every column get equal decisions, as do all reruns. An empty table gives an empty table. Only pattern and source totals reach the driver:
+more than MAX_PATTERNS distinct sets of sources raise ValueError (nothing is dropped; group the sources first). Input columns pass through unless an
+output column has their name; names that begin with _mix_ are the operator's own.
 """
 
 from __future__ import annotations
@@ -127,17 +128,17 @@ def mix(df: DataFrame, sources: Column, size: Column, id_cols: Sequence[str], we
     rows = df.select(
         *[f"`{c}`" for c in rest],
         F.coalesce(size, F.lit(0)).cast("long").alias("size"),
-        F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string")))))).alias("_p"),
-        F.pmod(F.xxhash64(F.lit(seed), *[f"`{c}`" for c in id_cols]), F.lit(BUCKETS)).cast("int").alias("_b"),
+        F.to_json(F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string")))))).alias("_mix_p"),
+        F.pmod(F.xxhash64(F.lit(seed), *[f"`{c}`" for c in id_cols]), F.lit(BUCKETS)).cast("int").alias("_mix_b"),
     )
     spark = df.sparkSession
     # BUCKETS rows a pattern at most
-    steps = materialise(rows.groupBy("_p", "_b").agg(F.sum("size").alias("n")), name)
-    totals = steps.groupBy("_p").agg(F.sum("n").alias("n")).limit(MAX_PATTERNS + 1).collect()
+    steps = materialise(rows.groupBy("_mix_p", "_mix_b").agg(F.sum("size").alias("n")), name)
+    totals = steps.groupBy("_mix_p").agg(F.sum("n").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    key = {r["_p"]: tuple(json.loads(r["_p"])) for r in totals}
-    sizes = {key[r["_p"]]: r["n"] for r in totals}
+    key = {r["_mix_p"]: tuple(json.loads(r["_mix_p"])) for r in totals}
+    sizes = {key[r["_mix_p"]]: r["n"] for r in totals}
     held: dict[str | None, int] = {}
     for p, n in sizes.items():
         for s in p:
@@ -153,13 +154,13 @@ def mix(df: DataFrame, sources: Column, size: Column, id_cols: Sequence[str], we
         out, n = flow[p], sizes[p]
         whole, more = divmod(sum(out.values()), n) if n else (0, 0)
         plan.append((text, int(whole), int(more), json.dumps([[s, out[s]] for s in p])))
-    plans = spark.createDataFrame(plan, "_p string, whole int, more long, shares string")
+    plans = spark.createDataFrame(plan, "_mix_p string, whole int, more long, shares string")
     # the step of the seeded order up to which a pattern's documents are taken once more: the one that ends nearest to what is missing
-    w = Window.partitionBy("_p").orderBy("_b")
+    w = Window.partitionBy("_mix_p").orderBy("_mix_b")
     run = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    near = steps.withColumn("run", run).join(F.broadcast(plans.select("_p", "more")), "_p")
-    cut = near.groupBy("_p").agg(F.min_by("_b", F.struct(F.abs(F.col("run") - F.col("more")), "_b")).alias("b"), F.min(F.abs(F.col("run") - F.col("more"))).alias("off"))
-    cuts = {r["_p"]: (r["b"], r["off"]) for r in cut.collect()}
+    near = steps.withColumn("run", run).join(F.broadcast(plans.select("_mix_p", "more")), "_mix_p")
+    cut = near.groupBy("_mix_p").agg(F.min_by("_mix_b", F.struct(F.abs(F.col("run") - F.col("more")), "_mix_b")).alias("b"), F.min(F.abs(F.col("run") - F.col("more"))).alias("off"))
+    cuts = {r["_mix_p"]: (r["b"], r["off"]) for r in cut.collect()}
     full = []
     for text, whole, more, _ in plan:
         p, n = key[text], sizes[key[text]]
@@ -172,15 +173,15 @@ def mix(df: DataFrame, sources: Column, size: Column, id_cols: Sequence[str], we
             ends.append((got * BUCKETS // amount, s))
         ends[-1] = (BUCKETS, ends[-1][1])
         full.append((text, whole, last, [{"e": e, "s": s, "size": held[s], "target": float(quota[s])} for e, s in ends]))
-    table = spark.createDataFrame(full, T.StructType.fromDDL("_p string, whole int, last int, ends array<struct<e:int,s:string,size:bigint,target:double>>"))
+    table = spark.createDataFrame(full, T.StructType.fromDDL("_mix_p string, whole int, last int, ends array<struct<e:int,s:string,size:bigint,target:double>>"))
     # at most MAX_PATTERNS rows
-    got = rows.join(F.broadcast(table), "_p", "left")
-    goes = F.filter("ends", lambda x: F.col("_b") < x["e"])[0]
+    got = rows.join(F.broadcast(table), "_mix_p", "left")
+    goes = F.filter("ends", lambda x: F.col("_mix_b") < x["e"])[0]
     return got.select(
         *[f"`{c}`" for c in rest],
         "size",
         goes["size"].alias("source_size"),
         goes["target"].alias("target"),
         goes["s"].alias("taken_for"),
-        (F.col("size") * (F.col("whole") + (F.col("_b") <= F.col("last")).cast("int"))).cast("long").alias("taken"),
+        (F.col("size") * (F.col("whole") + (F.col("_mix_b") <= F.col("last")).cast("int"))).cast("long").alias("taken"),
     )
