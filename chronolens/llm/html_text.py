@@ -29,7 +29,7 @@ PAGES, TREES, DEPTH, RATE, BINS, MIXED, SEED = 500, 50, 4, 0.3, 32, 1.0, 11
 # Elements of HTML.
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr td th ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg iframe object select textarea button math canvas audio video head title".split())
+RAW = set("script style noscript template svg iframe object select textarea button canvas audio video head title".split())
 TO_THE_END = set("script style textarea title iframe".split())  # these hold raw text up to the end of the page where no end tag follows
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -56,6 +56,22 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _SPLIT = re.compile(r"[^a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
+_NESTS = {t: re.compile(rf"<{t}(?=[\s/>])([^>]*)>", re.I) for t in ("svg", "object", "template")}
+
+
+def _end(name: str, page: str, pos: int) -> re.Match | None:
+    """The end tag of an element whose start tag ends at pos; of elements that can hold their like, the one that goes with it."""
+    end, deep, at = _RAW_END[name].search(page, pos), 0, pos
+    while end and name in _NESTS:
+        deep += sum(not m[1].endswith("/") for m in _NESTS[name].finditer(page, at, end.start()))
+        if not deep:
+            break
+        deep, at = deep - 1, end.end()
+        end = _RAW_END[name].search(page, at) or end
+        if end.end() <= at:  # fewer end tags than start tags: the last one it is
+            break
+    return end
+
 
 class Tree:
     """Elements in page order; texts: (element, decoded text) or (-1, None) for a border of blocks, in page order."""
@@ -99,10 +115,10 @@ class Tree:
                     out.append((stack[-1], " "))
                 continue
             if name in RAW:
-                if not attrs.endswith("/") or name not in ("svg", "math"):
+                if not attrs.endswith("/") or name != "svg":
                     if name == "head":
                         continue
-                    end = None if name in unclosed else _RAW_END[name].search(page, pos)
+                    end = None if name in unclosed else _end(name, page, pos)
                     if end or name in TO_THE_END:
                         pos = end.end() if end else len(page)
                         continue
@@ -314,7 +330,9 @@ class _Pages:
     def rejected(self) -> str:
         r, kind = self.r, self.r.choice(["nav", "header", "footer", "aside", "ad", "notice", "form", "comments", "share"])
         if kind == "nav":
-            t = r.choice(["nav", "nav", "div"])
+            t = r.choice(["nav", "nav", "div", "table"])
+            if t == "table":
+                return "<table><tr>" + "".join(f'<td><a href="/{k}">{self.words(1, 3)}</a></td>' for k in range(r.randint(3, 7))) + "</tr></table>"
             return f"<{t}{self.attr('menu', 0.3 if t == 'nav' else 0.95)}>{self.links(r.randint(3, 9))}</{t}>"
         if kind in ("header", "footer", "aside"):
             t = r.choice([kind, kind, "div"])
@@ -353,12 +371,18 @@ class _Pages:
 
     def page(self) -> str:
         r = self.r
-        inside = [f"<h1>{self.words(2, 12, True)}</h1>"] * (r.random() < 0.85) + [self.passage() for _ in range(int(30 ** r.random()))]
+        h = r.choice(["h1", "h1", "h1", "h2"])
+        title = [f"<{h}>{self.words(2, 12, True)}</{h}>"] * (r.random() < 0.85)
+        apart = title if r.random() < 0.2 else []  # a title above the text's own element
+        inside = ([] if apart else title) + [self.passage() for _ in range(int(30 ** r.random()))]
         for _ in range(r.choice([0, 0, 0, 1, 2])):
-            inside.insert(r.randint(1, len(inside)), self.rejected())
+            inside.insert(r.randint(min(1, len(inside)), len(inside)), self.rejected())
         body = "".join(inside)
-        t = r.choice(["article", "article", "article", "main", "div", "section", "div"])
-        body = f"<{t}{self.attr('main', 0.2 if t in ('article', 'main') else 0.9)}>{body}</{t}>"
+        t = r.choice(["article", "article", "article", "main", "div", "section", "div", "div", ""])
+        if t:
+            body = f"<{t}{self.attr('main', 0.2 if t in ('article', 'main') else 0.6)}>{body}</{t}>"
+        if apart:
+            body = f"<div{self.attr('main', 0.3)}>{apart[0]}{body}{self.rejected() if r.random() < 0.3 else ''}</div>"
         if r.random() < 0.3:
             body = f"<div{self.attr('main', 0.5)}>{body}{self.rejected() if r.random() < 0.4 else ''}</div>"
         before, after = "".join(self.rejected() for _ in range(r.randint(0, 3))), "".join(self.rejected() for _ in range(r.randint(0, 3)))
