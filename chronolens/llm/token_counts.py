@@ -18,7 +18,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, map_rows, materialise, texts
+from .common import LONG, fields, kept, map_rows, materialise, texts
 
 #: Entries of the broadcast table, items that a sketch tracks, groups of partitions whose sketches merge first, and entries of a worker's cache.
 FREQUENT, TRACKED, GROUPS, CACHED = 16_384, 65_536, 64, 500_000
@@ -54,6 +54,8 @@ class Lengths(dict):
         if not key:
             return _IRREGULAR
         n = len(self.sp.encode(key))
+        if len(key) > LONG:
+            return n
         if len(self) >= CACHED:
             self.clear()
             self.update(self.frequent)
@@ -72,7 +74,7 @@ class Lengths(dict):
 
 def frequent_pretokens(df: DataFrame, text_col: str = "text") -> list[str]:
     """At most FREQUENT pre-tokens, by a sketch over all texts; sketches of groups of partitions merge first, then the groups'."""
-    words = df.select(F.explode(F.split(f"`{text_col}`", " ")).alias("w"), (F.spark_partition_id() % GROUPS).alias("g")).where("w is not null")
+    words = df.select(F.explode(F.split(f"`{text_col}`", " ")).alias("w"), (F.spark_partition_id() % GROUPS).alias("g")).where(F.length("w") <= LONG)  # the table only saves time
     sketches = materialise(words.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("s")), "sketches")
     if sketches.isEmpty():
         return []
@@ -89,7 +91,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int =
     shared, key = df.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
 
     def make():
-        lengths = _worker_lengths(key, shared.value, path)
+        lengths = kept(("lengths", key, path), lambda: Lengths(shared.value, path))
 
         def run(batch):
             whole = texts(batch, text_col)
@@ -99,14 +101,3 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", limit: int =
         return run
 
     return map_rows(df, make, fields("n_bytes long, n_tokens long, over_limit boolean"), keep=keep, needs=[text_col])
-
-
-_KEPT: dict = {}
-
-
-def _worker_lengths(key: str, frequent: dict[str, int], path: str) -> Lengths:
-    """The worker's cache outlives a task."""
-    if (key, path) not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key, path] = Lengths(frequent, path)
-    return _KEPT[key, path]
