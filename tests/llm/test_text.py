@@ -243,6 +243,15 @@ def test_pii_terms(spark):
     assert pii.sanitise(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_pii_secrets(spark):
+    texts = ['set token = "aB3dE5fG7h" now', "API_KEY: 'x-1234567890'; the secret is safe", "password=short", "PASSWD=longer_than_8 and token=" + "q" * 30, "tokens = none", "a token of thanks", None, ""]
+    out = {r.doc_id: r.spans for r in pii.find(frame(spark, texts), keep=["doc_id"]).collect()}
+    got = [[texts[k][s.start : s.end] for s in out[k] if s.kind == "secret"] for k in range(len(texts))]
+    assert got == [["aB3dE5fG7h"], ["x-1234567890"], [], ["longer_than_8", "q" * 30], [], [], [], []]
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, texts)).collect()}
+    assert "[SECRET]" in clean[0] and "aB3dE5" not in clean[0] and clean[5] == texts[5]
+
+
 def test_pii_overlapping_spans(spark):
     out = {r.doc_id: r.text for r in pii.sanitise(frame(spark, ["at 10.0.0.0 4111 1111 1111 1111 end", "x"])).collect()}
     assert "[IP][CARD]" in out[0] and "1111" not in out[0] and out[1] == "x"
