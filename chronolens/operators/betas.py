@@ -165,13 +165,22 @@ def long_form(df: DataFrame, key: str, order: str, by: str, group: Column | None
     return df.select((F.lit("") if group is None else group).cast("string").alias(by), order, F.col(key).cast("string").alias(key), F.when(~F.isnan(ret), ret).alias("ret"))
 
 
+def stored_panel(a: DataFrame, f: DataFrame, order: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """Both long tables, written in one job: factors are often made from the assets, and what they share is then computed once."""
+    if a.schema[order].dataType != f.schema[order].dataType:
+        return checkpointed(a), checkpointed(f)
+    side = lambda df, key, n: df.select(F.lit(n).alias("_side"), by, order, F.col(key).alias("_name"), "ret")
+    both = checkpointed(side(a, "asset", 0).union(side(f, "factor", 1)))
+    return tuple(both.where(F.col("_side") == n).select(by, order, F.col("_name").alias(key), "ret") for n, key in enumerate(("asset", "factor")))
+
+
 def robust_betas(assets: DataFrame, factors: DataFrame, half_life: float | None = None, lambda_: float | None = None, min_timestamps: int = 10, order_col: str = "ts", n_jobs: int = -1) -> DataFrame:
     """(factor, asset, beta): one fit of each asset over all rows, which order_col puts in order (times or any other). beta is NULL where there are too few
     usable rows or the fit fails. n_jobs > 0: the number of partitions that fit."""
     if min_timestamps < 1:
         raise ValueError("min_timestamps must be at least 1")
     by = "_g"
-    a, f = checkpointed(long_form(assets, "asset", order_col, by)), checkpointed(long_form(factors, "factor", order_col, by))
+    a, f = stored_panel(long_form(assets, "asset", order_col, by), long_form(factors, "factor", order_col, by), order_col, by)
     require_panel(a, f, order_col)
     names = names_of(f)
     rows = factor_rows(f, names, order_col, by)

@@ -43,7 +43,7 @@ def pit_robust_betas(assets: DataFrame, factors: DataFrame, half_life: float | N
         require_time(assets, "ts", "assets")
         require_time(factors, "ts", "factors")
     # checks, windows, fits and algebra all read the panel
-    a, f = checkpointed(B.long_form(assets, "asset", "ts", by)), checkpointed(B.long_form(factors, "factor", "ts", by))
+    a, f = B.stored_panel(B.long_form(assets, "asset", "ts", by), B.long_form(factors, "factor", "ts", by), "ts", by)
     if checks:
         check_panel(a, f, rebalance)
     out = _panel(a, f, None if rebalance is None else rebalance.select(F.lit("").alias(by), "t"), half_life, lambda_, min_timestamps, fill_missing_betas, blocks, by, single=True)
@@ -54,8 +54,7 @@ def pit_robust_betas_by_group(assets: DataFrame, factors: DataFrame, group: str,
     """Independent panels side by side in one job: assets and factors have the column `group`, and each group is fitted on its own factors, all of them
     having the same factor names. rebalance: (t), for every group from its first time on."""
     by = "_g"
-    a = checkpointed(B.long_form(assets, "asset", "ts", by, F.col(group)))
-    f = checkpointed(B.long_form(factors, "factor", "ts", by, F.col(group)))
+    a, f = B.stored_panel(B.long_form(assets, "asset", "ts", by, F.col(group)), B.long_form(factors, "factor", "ts", by, F.col(group)), "ts", by)
     require_unique(a, [by, "ts", "asset"], "more than one row for a group, time and asset")
     require_unique(f, [by, "ts", "factor"], "more than one row for a group, time and factor")
     times = None
