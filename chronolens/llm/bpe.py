@@ -14,17 +14,17 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo, fields, map_rows, texts
+from .common import LONG, Memo, fields, kept, map_rows, texts
 
-#: Entries of a worker's map from a chunk of text to its ids (twice as many at most) and of the map of compatible pairs.
-CHUNKS, PAIRS = 500_000, 1_000_000
+#: Entries of a worker's map from what stands between two spaces to its ids (twice as many at most), of the map of other pieces, and of that of compatible
+#: pairs for each entry of the first. A caller with less memory to spare for its workers gives a smaller first number; results don't depend on it.
+CHUNKS, PIECES, PAIRS = 400_000, 50_000, 3
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,15 +33,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class _Compatible(Memo):
-    """(left, right) -> whether the merges leave the two tokens apart; -1 as left is the start of the string."""
+class _Compatible(dict):
+    """left << 32 | right -> whether the merges leave the two tokens apart."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__(PAIRS)
+        super().__init__()
         self.v = vocabulary
 
-    def missing(self, key: tuple[int, int]) -> bool:
-        return key[0] < 0 or self.apart(*key)
+    def __missing__(self, key: int) -> bool:
+        if len(self) >= PAIRS * self.v.cached:
+            self.clear()
+        out = self[key] = self.apart(key >> 32, key & 0xFFFFFFFF)
+        return out
 
     def apart(self, left: int, right: int, bound: int | None = None) -> bool:
         """bound: only merges of lower ranks are made; then, of lower rank than the latest merge undone."""
@@ -63,8 +66,9 @@ class _Compatible(Memo):
 class Vocabulary:
     """Ranks, and what the dynamic programme needs of them."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = CHUNKS) -> None:
+        self.cached = cached
+        self.ranks, self.get_rank = ranks, ranks.get
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self.split = regex.compile(pattern)
@@ -86,7 +90,7 @@ class Vocabulary:
         self.spaced = _Spaced(self)
 
     def merged(self, left: int, right: int) -> int | None:
-        return self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
+        return self.get_rank(self.bytes_of[left] + self.bytes_of[right])
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two tokens that the merges below this rank leave of token; None if they leave others, for then no text ever yields the token."""
@@ -99,7 +103,33 @@ class Vocabulary:
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern."""
         whole = self.reachable.get(piece)
-        return [whole] if whole is not None else PrefixTable(self, piece).ids()
+        if whole is not None:
+            return [whole]
+        # the table of a text that is met once: only its last tokens, and their sizes
+        n = len(piece)
+        last, sizes, compatible = [None] * n, [0] * n, self.compatible
+        for end, (size, token) in self.endings.iter(piece.decode("latin-1")):
+            if last[end] is None and (size > end or ((before := last[end - size]) is not None and compatible[before << 32 | token])):
+                last[end], sizes[end] = token, size
+        out, end = [], n - 1
+        while end >= 0:
+            if last[end] is None:
+                return []
+            out.append(last[end])
+            end -= sizes[end]
+        out.reverse()
+        return out
+
+    def walk(self, last: list[int | None]) -> list[int]:
+        """The tokens that a table of last tokens stands for."""
+        out, end, bytes_of = [], len(last), self.bytes_of
+        while end:
+            token = last[end - 1]
+            if token is None:
+                return []
+            out.append(token)
+            end -= len(bytes_of[token])
+        return out[::-1]
 
     def encode(self, text: str) -> list[int]:
         first, *rest = text.split(" ")
@@ -124,27 +154,43 @@ _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 class _Pieces(Memo):
     def __init__(self, v: Vocabulary) -> None:
-        super().__init__(CHUNKS)
+        super().__init__(min(PIECES, v.cached))
         self.v = v
 
     def missing(self, piece: str) -> tuple[int, ...]:
         return tuple(self.v.encode_piece(piece.encode("utf-8", "surrogatepass")))
 
 
-class _Spaced(Memo):
-    """What stands between two spaces -> the ids of it and the space before it; None, which no encoding is, if white space touches that space."""
+class _Spaced(dict):
+    """What stands between two spaces -> the ids of it and the space before it; None, which no encoding is, if white space touches that space. Holds twice
+    the vocabulary's `cached` entries at most, like Memo."""
 
     def __init__(self, v: Vocabulary) -> None:
-        super().__init__(CHUNKS)
-        self.v = v
-
-    def missing(self, chunk: str) -> tuple[int, ...] | None:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        found = self.v.split.findall(" " + chunk)
-        if len(found) == 1:
-            return tuple(self.v.encode_piece(found[0].encode("utf-8", "surrogatepass")))
-        return tuple(i for p in found for i in self.v.pieces[p])
+        super().__init__()
+        self.v, self.old = v, {}
+        self.findall = v.split.findall
+
+    def __missing__(self, chunk: str) -> tuple[int, ...] | None:
+        ids = self.old.get(chunk)
+        if ids is None:
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                return None
+            found = self.findall(" " + chunk)
+            first = found[0]
+            if len(found) == 1:
+                ids = tuple(self.v.encode_piece(first.encode("utf-8", "surrogatepass")))
+            else:
+                # the word before a mark is often known without it, if the pattern takes it alone too
+                head = self[first[1:]] if first[:1] == " " and len(first) > 1 and self.findall(first) == [first] else None
+                pieces = self.v.pieces
+                ids = tuple(chain(pieces[first] if head is None else head, chain.from_iterable(map(pieces.__getitem__, found[1:]))))
+            if len(chunk) > LONG:
+                return ids
+        if len(self) >= self.v.cached:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
 
 class PrefixTable:
@@ -169,7 +215,7 @@ class PrefixTable:
                 continue
             start = end - size
             before = last[start] if start >= 0 else -1
-            if before is not None and compatible[before, token]:
+            if before is not None and (before < 0 or compatible[before << 32 | token]):
                 last[end] = token
         return self
 
@@ -193,15 +239,7 @@ class PrefixTable:
         return self
 
     def ids(self) -> list[int]:
-        out, end = [], len(self.data)
-        while end:
-            token = self.last[end - 1]
-            if token is None:
-                return []
-            out.append(token)
-            end -= len(self.v.bytes_of[token])
-        return out[::-1]
-
+        return self.v.walk(self.last)
 
     def grown(self, data: bytes) -> PrefixTable:
         """A table of data, which begins with this one's; this one stays as it is."""
@@ -258,10 +296,9 @@ class EncodedText:
         return self
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str, pattern: str) -> Vocabulary:
+def vocabulary(path: str, pattern: str, cached: int = CHUNKS) -> Vocabulary:
     """One a worker process."""
-    return Vocabulary(load_ranks(path), pattern)
+    return kept(("bpe", path, pattern, cached), lambda: Vocabulary(load_ranks(path), pattern, cached))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -284,12 +321,12 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col
     return map_rows(df, make, fields(f"`{out_col}` binary"), needs=[ids_col])
 
 
-def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """encode and decode in one pass, without moving the ids: n_tokens, ids_sha256 and decoded_sha256 of each text."""
+def digests(df: DataFrame, path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None, cached: int = CHUNKS) -> DataFrame:
+    """encode and decode in one pass, without moving the ids: n_tokens, ids_sha256 and decoded_sha256 of each text. cached: see CHUNKS."""
     from hashlib import sha256
 
     def make():
-        v = vocabulary(path, pattern)
+        v = vocabulary(path, pattern, cached)
         decimal = {i: str(i) for i in v.bytes_of}
 
         def run(batch):

@@ -34,8 +34,13 @@ def kept(key: Hashable, make: Callable):
 
 
 def release() -> None:
-    """Gives the memory of earlier operators in this worker back to the machine."""
+    """Drops the tables of earlier operators in this worker."""
     _KEPT.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the machine: a worker that waits for its next task holds its tables only."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -61,22 +66,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     The files go when the driver's process ends.
     """
-    return _written(df, name, None)
+    return _written(df, name, None)[0]
 
 
 def materialise_parts(df: DataFrame, name: str, by: str) -> tuple[DataFrame, str]:
     """The same in a folder for each value of the column by, so that remove() can drop f"{path}/{by}={value}" once nothing reads it any more; and the path."""
-    out = _written(df, name, by)
-    return out, out.inputFiles()[0].split(f"/{by}=")[0] if out.inputFiles() else ""
+    return _written(df, name, by)
 
 
-def _written(df: DataFrame, name: str, by: str | None) -> DataFrame:
+def _written(df: DataFrame, name: str, by: str | None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path), path
 
 
 def sweep(spark: SparkSession) -> None:
@@ -122,7 +126,19 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Sequen
                 made = [x if isinstance(x, pa.Array) else pa.array(x, arrow_type(k.dataType)) for x, k in zip(f(part), fields)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + made, names=[*keep, *names])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(trimmed(run), schema)
+
+
+def trimmed(run: Callable) -> Callable:
+    """run as a task's function that gives free memory back at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_type, hashes, materialise, materialise_parts, mix, remove, slices, sweep, words
+from .common import arrow_type, hashes, materialise, materialise_parts, mix, remove, slices, sweep, trimmed, words
 
 BITS, HASHES, WEIGHT, ADD = 16, 8, 0.7, 0.1
 #: Characters of text for each segment (a power of two of segments, between the two bounds), tokens a task holds before it hands their counts on, and
@@ -299,7 +299,7 @@ def _finish(n: int, v: int):
 def _filled(rows: DataFrame, segments: int, name: str) -> DataFrame:
     """The segments' word counts and filters, written."""
     most = HELD
-    counted = rows.where("train").select("t").mapInArrow(lambda it: _count(it, segments, most), "segment int, words binary, n binary, pairs binary, m binary")
+    counted = rows.where("train").select("t").mapInArrow(trimmed(lambda it: _count(it, segments, most)), "segment int, words binary, n binary, pairs binary, m binary")
     filled = counted.groupBy("segment").applyInArrow(_fill, "segment int, words binary, n binary, bits binary, top int, distinct long, total long")
     return materialise(filled, f"{name}-filter")
 
@@ -325,10 +325,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: s
     made = T.StructType([rows.schema["id"], rows.schema["train"], *T.StructType.fromDDL(_ASKED)])
     schema = pa.schema([("id", to_arrow_type(made["id"].dataType)), *[(f.name, arrow_type(f.dataType)) for f in made.fields[1:]]])
     most = CHUNK
-    asked, path = materialise_parts(rows.mapInArrow(lambda it: _ask(it, schema, segments, most), made), f"{name}-asked", "kind")
+    asked, path = materialise_parts(rows.mapInArrow(trimmed(lambda it: _ask(it, schema, segments, most)), made), f"{name}-asked", "kind")
     answers = _answers(filled, asked.where("kind = 2"), name)
-    if path:  # no document, no folder
-        remove(spark, f"{path}/kind=2")
+    remove(spark, f"{path}/kind=2")
     sweep(spark)
     known = answers.unionByName(asked.where("kind = 1").select("chunk", "hashes"), allowMissingColumns=True)
     docs = asked.where("kind = 0").select("chunk", "id", "train", "n_tokens", "seq")

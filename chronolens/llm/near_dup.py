@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fields, map_rows, materialise, mix, slices, word_hashes, words
+from .common import fields, map_rows, materialise, mix, slices, trimmed, word_hashes, words
 
 SHINGLE, SIMILAR, BANDS, ROWS, FIRST, REST, BLOCK = 5, 0.8, 32, 5, 3, 24, 256
 SIZE = BANDS * ROWS
@@ -257,7 +257,7 @@ def _rest_links(large: DataFrame, label: DataFrame, whole: DataFrame, name: str)
                 out += block_links(x, x if y is None else y, main)
             yield pa.RecordBatch.from_pydict({"a": [min(p) for p in out], "b": [max(p) for p in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return materialise(alone.mapInArrow(run, "a long, b long").union(both.mapInArrow(run, "a long, b long")).distinct(), f"{name}-more")
+    return materialise(alone.mapInArrow(trimmed(run), "a long, b long").union(both.mapInArrow(trimmed(run), "a long, b long")).distinct(), f"{name}-more")
 
 
 def _components(links: DataFrame, name: str) -> DataFrame:
