@@ -1,12 +1,13 @@
 """Personal data, and the terms that give it away: information-theoretic sanitisation in DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers by fixed patterns. Each distinct value is a protected entity:
-addresses without regard to case, card and telephone numbers by their digits.
+addresses without regard to case, card and telephone numbers by their digits. So are secrets, an added kind: what is assigned to a token, secret,
+password or API key by name.
 Document co-occurrence over the whole corpus then says how strongly a term reveals an entity: the share of the entity's information
 -log2(n_entity / N) that their pointwise mutual information makes up, about 1 if the term is found beside the entity only. The information is that of
 counts smoothed by SMOOTH documents in which the term stands beside the entity as often as by chance, log2(N n / (n_entity (n_term + SMOOTH))) with
 n = n_both + SMOOTH n_entity / N, so that terms seen seldom count for less; entities of one document and terms of one are weighed like all others. In
-documents that hold the entity, its terms are generalised from a share of GENERALISE on and removed from REMOVE on. Terms are runs of MIN_LETTERS letters or more, in lower case, outside e-mail addresses.
+documents that hold the entity, its terms are generalised from a share of GENERALISE on and removed from REMOVE on. Terms are runs of MIN_LETTERS letters or more, in lower case, outside e-mail addresses; none is marked inside a secret.
 
 Null texts count as empty and have no spans. Spans are in code points, end exclusive. Rows with equal texts get equal spans; every row is a
 document of the counts, copies too. Texts of any length are searched whole in time about proportional to their length. An empty table gives an
@@ -32,9 +33,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What follows the name of a credential and a sign of assignment.
+PATTERNS["secret"] = r"""(?i)(?<=(?:token|secret|password|passwd|api[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?)(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/=.-]{8,}+"""
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-ADDED = ["generalised", "removed"]
-MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "removed": ""}
+ADDED = ["secret", "generalised", "removed"]
+PROTECTED = [*KINDS, "secret"]
+MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "removed": ""}
 
 _SPANS = "array<struct<start:int,end:int>>"
 
@@ -75,8 +79,8 @@ def _located(text: Column, pattern: str, holds) -> Column:
     return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    may = text.contains("@") if kind == "email" else text.contains("+") & text.rlike("[0-9]") if kind == "phone" else text.rlike("[0-9][0-9.\\x20-]")
+def spans_of(text: Column, kind: str) -> Column:
+    may = text.contains("@") if kind == "email" else text.rlike(r"(?i)(?:token|secret|passw|api[_-]?key)") if kind == "secret" else text.contains("+") & text.rlike("[0-9]") if kind == "phone" else text.rlike("[0-9][0-9.\\x20-]")
     return F.when(may, _located(text, PATTERNS[kind], lambda m, _: _holds(kind, m))).otherwise(F.array().cast(_SPANS))
 
 
@@ -89,18 +93,18 @@ def _terms(text: Column) -> Column:
 
 
 def find(df: DataFrame, text_col: str = "text", keep: Sequence[str] | None = None, name: str = "pii") -> DataFrame:
-    """Adds spans array<struct<kind,start,end>> in the kinds' order (base ones, then generalised and removed terms), then by start."""
+    """Adds spans array<struct<kind,start,end>> in the kinds' order (base ones, secrets, then generalised and removed terms), then by start."""
     rest = without(df, ["spans"]) if keep is None else list(keep)
     text = F.coalesce(F.col(text_col), F.lit("")).alias("_pii_text")
     rows = df.select(*[f"`{c}`" for c in rest], text)
     t = F.col("_pii_text")
-    found = rows.select("*", *[base_spans(t, k).alias(f"_pii_{k}") for k in KINDS])
-    holds = F.greatest(*[F.size(f"_pii_{k}") for k in KINDS]) > 0
+    found = rows.select("*", *[spans_of(t, k).alias(f"_pii_{k}") for k in PROTECTED])
+    holds = F.greatest(*[F.size(f"_pii_{k}") for k in PROTECTED]) > 0
     private = materialise(found.where(holds).withColumn("_pii_row", F.monotonically_increasing_id()), f"{name}-private")
     terms = _revealing(private, rows, name)
 
     own = private.join(_term_places(private, terms), "_pii_row", "left")
-    inside = lambda s: F.exists("_pii_email", lambda e: (e["start"] <= s["start"]) & (s["start"] < e["end"]))
+    inside = lambda s: F.exists(F.concat("_pii_email", "_pii_secret"), lambda e: (e["start"] <= s["start"]) & (s["start"] < e["end"]))
     hits = F.filter(F.coalesce("_pii_hits", F.array().cast("array<struct<start:int,end:int,share:double>>")), lambda s: ~inside(s))
     own = own.withColumn("_pii_hits", hits)
     own = own.select("*", F.filter("_pii_hits", lambda s: s["share"] < REMOVE).alias("_pii_generalised"), F.filter("_pii_hits", lambda s: s["share"] >= REMOVE).alias("_pii_removed"))
@@ -138,7 +142,7 @@ def _revealing(private: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     Entities of the same documents stand beside the same terms equally often: they are one class, known by the documents' hashes, and a document with
     thousands of values of its own has one class for them all. Of entities of one document the counts are known without pairing them with terms."""
     t = F.col("_pii_text")
-    values = [F.transform(f"_pii_{k}", _value(t, k)) for k in KINDS]
+    values = [F.transform(f"_pii_{k}", _value(t, k)) for k in PROTECTED]
     entities = materialise(private.select("_pii_row", F.explode(F.array_distinct(F.concat(*values))).alias("entity")), f"{name}-entities")
     documents = F.concat_ws(":", F.hex(F.bit_xor(F.xxhash64("_pii_row"))), F.hex(F.bit_xor(F.xxhash64("_pii_row", F.lit(1)))))
     classes = materialise(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), documents.alias("class")), f"{name}-classes")

@@ -34,7 +34,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir).select("doc_id", "text"), keep=["doc_id"], name="op3")
     spans = F.col("spans")
     counts = [F.size(pii.of_kind(spans, [k])).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(pii.of_kind(spans, pii.KINDS)), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), F.size(pii.of_kind(spans, pii.KINDS)).cast("long").alias("n_base"), F.size(pii.of_kind(spans, pii.ADDED)).cast("long").alias("n_terms"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(pii.of_kind(spans, pii.KINDS)), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), F.size(pii.of_kind(spans, pii.PROTECTED)).cast("long").alias("n_private"), F.size(pii.of_kind(spans, ["generalised", "removed"])).cast("long").alias("n_terms"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
