@@ -9,8 +9,8 @@ document if the level is below the shingle's weight there. A component's value i
 probability of their bags' weighted Jaccard similarity. Points are made only up to the time by which all components are filled.
 
 BANDS bands of ROWS components give bucket keys (a pair of similarity 0.8 misses all with probability 3e-6). In a bucket, distinct texts are first
-paired with its smallest member only, and each text keeps its FIRST smallest of these; verified links make classes. Then, in the buckets of the first
-REST bands (a pair of similarity 0.8 misses them with probability 7e-5) whose members are still in different classes, the members outside the bucket's
+paired with its smallest member only, and each text keeps its FIRST smallest of these; verified links make classes. Then, in the larger
+buckets of all bands whose members are still in different classes, the members outside the bucket's
 largest class are held against all members of other classes, on their whole bags, in blocks of about BLOCK texts: inside a block one inverted list of
 shingles gives a text's overlap with all others, only links become rows, and the blocks of a large bucket meet in as many tasks as it has blocks.
 So a group of many texts just below the threshold costs arithmetic, not rows. Every link is verified on the whole texts; links inside a class already
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import fields, map_rows, materialise, mix, slices, trimmed, word_hashes, words
 
-SHINGLE, SIMILAR, BANDS, ROWS, FIRST, REST, BLOCK = 5, 0.8, 32, 5, 3, 24, 256
+SHINGLE, SIMILAR, BANDS, ROWS, FIRST, BLOCK = 5, 0.8, 32, 5, 3, 256
+#: Bands whose larger buckets are compared in blocks: all, so that no pair that shares a bucket is left out.
+REST = BANDS
 SIZE = BANDS * ROWS
 #: Words of texts handled at once, words of a block's texts at most (or one text), and matches of shingles counted at once.
 WORDS_AT_ONCE, BLOCK_WORDS, MATCHES = 100_000, 300_000, 2_000_000
@@ -227,7 +229,7 @@ def block_links(x: list[dict], y: list[dict], main: int) -> list[tuple[int, int]
 def _rest_links(large: DataFrame, label: DataFrame, whole: DataFrame, name: str) -> DataFrame:
     """(a, b) in different classes, of one bucket, with similar bags: all such pairs of texts and classes. large: h, band, id, weight, of buckets of three
     texts or more."""
-    rest = large.where(F.col("band") < REST).join(label, "id", "left").select("h", "id", "weight", F.coalesce("label", "id").alias("label"))
+    rest = large.join(label, "id", "left").select("h", "id", "weight", F.coalesce("label", "id").alias("label"))
     rest = materialise(rest, f"{name}-rest")
     sums = rest.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     buckets = sums.groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("w").alias("w"))

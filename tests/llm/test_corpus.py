@@ -155,6 +155,19 @@ def test_near_duplicates_just_below(spark, monkeypatch, block):
     assert [got[k] for k in range(len(group))] == want and 20 < len(set(want)) < 120
 
 
+def rest_case(spark, n, band):
+    """n texts, alike in pairs at 0.8 at least, in one bucket of this band; each still a class of its own."""
+    base = [f"w{k}" for k in range(200)]
+    texts = [(k, " ".join([*base[:k], f"e{k}", *base[k + 1 :]])) for k in range(n)]
+    large = spark.createDataFrame([(11 + band, band, k, 196, 0) for k in range(n)], "h long, band int, id long, weight long, low long")
+    return large, spark.createDataFrame([], "id long, label long"), spark.createDataFrame(texts, "id long, t string")
+
+
+def test_pairs_of_the_last_bands_are_compared(spark):
+    found = near_dup._rest_links(*rest_case(spark, 5, near_dup.BANDS - 1), "last")
+    assert {x.b for x in found.collect()} == {1, 2, 3, 4}
+
+
 def test_signature_is_unbiased():
     r = np.random.default_rng(2)
     h = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
