@@ -9,12 +9,13 @@ document if the level is below the shingle's weight there. A component's value i
 probability of their bags' weighted Jaccard similarity. Points are made only up to the time by which all components are filled.
 
 BANDS bands of ROWS components give bucket keys (a pair of similarity 0.8 misses all with probability 3e-6). In a bucket, distinct texts are first
-paired with its smallest member only, and each text keeps its FIRST smallest of these; verified links make classes. Then, in the larger
-buckets of all bands whose members are still in different classes, the members outside the bucket's
-largest class are held against all members of other classes, on their whole bags, in blocks of about BLOCK texts: inside a block one inverted list of
-shingles gives a text's overlap with all others, only links become rows, and the blocks of a large bucket meet in as many tasks as it has blocks.
-So a group of many texts just below the threshold costs arithmetic, not rows. Every link is verified on the whole texts; links inside a class already
-found need no comparison.
+paired with its smallest member only, and each text keeps its FIRST smallest of these; verified links make classes. Then, in all larger buckets (of
+every band) whose members are still in different classes, the members outside the bucket's largest class are held against all members of other classes,
+on their whole bags, in blocks of about BLOCK texts: first inside each block, then, with the classes this gives, between the blocks of a large bucket, in
+as many tasks as it has blocks. One inverted list of shingles gives a text's overlap with all others of a block. A task joins the classes that its links
+connect and writes a row for each class that is joined to a smaller one, whatever the number of links; the tasks' rows are joined again in fewer tasks.
+So a group of many texts costs arithmetic, not rows, be they just below the threshold or all alike. Every link is verified on the whole bags; links
+inside a class already found need no comparison.
 
 Equal texts are one node. Rows with a null text count as empty. A null id counts as the largest. Ties: the smallest id stands for a class.
 An empty table gives an empty table. Extra columns pass through in deduplicate() and are ignored in classes(); names that begin with _nd_ are the operator's own.
@@ -22,7 +23,7 @@ An empty table gives an empty table. Extra columns pass through in deduplicate()
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,9 @@ SHINGLE, SIMILAR, BANDS, ROWS, FIRST, BLOCK = 5, 0.8, 32, 5, 3, 256
 #: Bands whose larger buckets are compared in blocks: all, so that no pair that shares a bucket is left out.
 REST = BANDS
 SIZE = BANDS * ROWS
-#: Words of texts handled at once, words of a block's texts at most (or one text), and matches of shingles counted at once.
-WORDS_AT_ONCE, BLOCK_WORDS, MATCHES = 100_000, 300_000, 2_000_000
+#: Words of texts handled at once, words of a block's texts at most (or one text), matches of shingles counted at once, and classes that a task joins
+#: before it hands them on.
+WORDS_AT_ONCE, BLOCK_WORDS, MATCHES, JOINED = 100_000, 300_000, 2_000_000, 500_000
 
 _GOLDEN, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
@@ -186,10 +188,10 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
 
 def elements(b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The bag as a set: 32 bits for each shingle and each time it occurs. Overlaps of sets are overlaps of bags, or by a chance of 2**-32 larger."""
+    """The bag as a set: 64 bits for each shingle and each time it occurs. Overlaps of sets are overlaps of bags."""
     first = b[1].cumsum() - b[1]
     again = np.arange(int(b[1].sum())) - np.repeat(first, b[1])
-    return (mix(np.repeat(b[0], b[1]) + again.astype(np.uint64) * _GOLDEN) >> np.uint64(32)).astype(np.uint32)
+    return mix(np.repeat(b[0], b[1]) + again.astype(np.uint64) * _GOLDEN)
 
 
 def block_links(x: list[dict], y: list[dict], main: int) -> list[tuple[int, int]]:
@@ -197,14 +199,14 @@ def block_links(x: list[dict], y: list[dict], main: int) -> list[tuple[int, int]
     x = [t for t in x if t["label"] != main]
     if not x or not y:
         return []
-    sets = [np.frombuffer(t["bag"], np.uint32) for t in y]
+    sets = [np.frombuffer(t["bag"], np.uint64) for t in y]
     size = np.array([len(s) for s in sets])
     whole = np.concatenate(sets)
     order = np.argsort(whole, kind="stable")
     whole, owner = whole[order], np.repeat(np.arange(len(y)), size)[order]
     label = np.array([t["label"] for t in y])
     out, at = [], 0
-    asked = [np.frombuffer(t["bag"], np.uint32) for t in x]
+    asked = [np.frombuffer(t["bag"], np.uint64) for t in x]
     begin = [np.searchsorted(whole, s) for s in asked]
     found = [np.searchsorted(whole, s, "right") - b for s, b in zip(asked, begin)]
     matches = np.array([int(n.sum()) for n in found])
@@ -226,15 +228,55 @@ def block_links(x: list[dict], y: list[dict], main: int) -> list[tuple[int, int]
     return out
 
 
-def _rest_links(large: DataFrame, label: DataFrame, whole: DataFrame, name: str) -> DataFrame:
-    """(a, b) in different classes, of one bucket, with similar bags: all such pairs of texts and classes. large: h, band, id, weight, of buckets of three
-    texts or more."""
+def joined(pairs: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of every node b that the pairs connect to a smaller one, a being the smallest: as few links as give the same classes."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    def flush() -> pa.RecordBatch:
+        found = [(a, b) for b in up if (a := top(b)) != b]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ([], []))], names=["a", "b"])
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            if len(up) >= JOINED:
+                yield flush()
+    yield flush()
+
+
+def _fewer(links: DataFrame, name: str) -> DataFrame:
+    """Links that give the same classes, at most one a node if one task can hold them all; in fewer and fewer tasks otherwise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from joined((a, b) for batch in batches for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+
+    n = links.count()
+    while n:
+        tasks = -(-n // JOINED)
+        links = materialise(links.select("a", "b").coalesce(tasks).mapInArrow(trimmed(run), "a long, b long"), f"{name}-fewer")
+        was, n = n, links.count()
+        if tasks == 1 or 2 * n > was:
+            break
+    return links
+
+
+def _rest_links(large: DataFrame, label: DataFrame, whole: DataFrame, name: str, across: bool = False) -> DataFrame:
+    """(a, b): classes, by their labels, that are one class by all similar bags of the blocks of a bucket, or across the blocks of each bucket. large: h,
+    id, weight, of buckets of three texts or more; label: id, label, a text without one is its own."""
     rest = large.join(label, "id", "left").select("h", "id", "weight", F.coalesce("label", "id").alias("label"))
     rest = materialise(rest, f"{name}-rest")
     sums = rest.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
     buckets = sums.groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / BLOCK_WORDS)).cast("int")
-    buckets = materialise(buckets.where("classes > 1").select("h", "main", parts.alias("parts")), f"{name}-mixed")
+    buckets = buckets.where("classes > 1").select("h", "main", parts.alias("parts"))
+    buckets = materialise(buckets.where("parts > 1") if across else buckets, f"{name}-mixed")
     rest = materialise(rest.join(buckets, "h").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), f"{name}-apart")
     wanted = whole.join(rest.select("id").distinct(), "id", "left_semi")
 
@@ -245,21 +287,26 @@ def _rest_links(large: DataFrame, label: DataFrame, whole: DataFrame, name: str)
     text = F.struct("id", "label", "bag")
     blocks = rest.join(packed, "id").groupBy("h", "part").agg(F.first("main").alias("main"), F.first("parts").alias("parts"), F.collect_list(text).alias("x"))
     blocks = materialise(blocks, f"{name}-blocks")
-    # a block of one bucket's outsiders meets every block of that bucket, in tasks of their own
-    many = blocks.where("parts > 1")
-    asks = many.where(F.exists("x", lambda t: t["label"] != F.col("main"))).select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", F.filter("x", lambda t: t["label"] != F.col("main")).alias("x"))
-    both = asks.join(many.select("h", "part", F.col("x").alias("y")), ["h", "part"]).select("main", "x", "y")
-    alone = blocks.where("parts = 1").select("main", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    outside = F.filter("x", lambda t: t["label"] != F.col("main"))
+    if across:
+        # a block of one bucket's outsiders meets every other block of that bucket, in tasks of their own
+        asks = blocks.select("h", F.col("part").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "main", outside.alias("x"))
+        asks = asks.where((F.col("part") != F.col("own")) & (F.size("x") > 0))
+        both = asks.join(blocks.select("h", "part", F.col("x").alias("y")), ["h", "part"]).select("main", "x", "y")
+    else:
+        both = blocks.select("main", "x", F.lit(None).cast(blocks.schema["x"].dataType).alias("y"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         for batch in batches:
-            out = []
             for k in range(batch.num_rows):
                 main, x, y = (batch.column(j)[k].as_py() for j in range(3))
-                out += block_links(x, x if y is None else y, main)
-            yield pa.RecordBatch.from_pydict({"a": [min(p) for p in out], "b": [max(p) for p in out]}, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                y = x if y is None else y
+                of = {t["id"]: t["label"] for t in (*x, *y)}
+                for a, b in block_links(x, y, main):
+                    yield of[a], of[b]
 
-    return materialise(alone.mapInArrow(trimmed(run), "a long, b long").union(both.mapInArrow(trimmed(run), "a long, b long")).distinct(), f"{name}-more")
+    found = materialise(both.mapInArrow(trimmed(lambda batches: joined(pairs(batches))), "a long, b long"), f"{name}-more")
+    return _fewer(found, name)
 
 
 def _components(links: DataFrame, name: str) -> DataFrame:
@@ -277,6 +324,13 @@ def _components(links: DataFrame, name: str) -> DataFrame:
         now = new.select("id", "label")
 
 
+def _relabelled(label: DataFrame, higher: DataFrame, name: str) -> DataFrame:
+    """label after classes became one; higher: id, label, of the classes that did. A class of one text may be without a row in label."""
+    of = higher.select(F.col("id").alias("label"), F.col("label").alias("higher"))
+    known = label.join(of, "label", "left").select("id", F.coalesce("higher", "label").alias("label"))
+    return materialise(known.union(higher.join(label, "id", "left_anti").select("id", "label")), f"{name}-relabelled")
+
+
 def _nodes(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Distinct texts with their smallest id, the class they are in and its smallest id; df's (id, text) under the operator's names."""
     rows = df.select(F.col(id_col).cast("long").alias("_nd_id"), _text(text_col))
@@ -301,10 +355,10 @@ def _nodes(df: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFr
     links = materialise(_verified(pairs, whole), f"{name}-links")
     label = _components(links, name)
 
-    more = _rest_links(large, label, whole, name)
-    found = materialise(_verified(more, whole), f"{name}-more-links")
-    if not found.isEmpty():
-        label = _components(links.union(found), f"{name}-all")
+    for across in (False, True):
+        more = _rest_links(large, label, whole, name, across)
+        if not more.isEmpty():
+            label = _relabelled(label, _components(more, f"{name}-all"), name)
     classed = nodes.select("_nd_k1", "_nd_k2", "first", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     classed = materialise(classed, f"{name}-classed")
     # written, so that Spark can split the join at a class of very many texts

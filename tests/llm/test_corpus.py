@@ -163,11 +163,44 @@ def rest_case(spark, n, band):
     return large, spark.createDataFrame([], "id long, label long"), spark.createDataFrame(texts, "id long, t string")
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_links_of_a_group_grow_with_its_size(spark, monkeypatch, block):
+    # all 1,770 pairs are similar; 59 links make one class of them
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    large, label, whole = rest_case(spark, 60, 0)
+    found = near_dup._rest_links(large, label, whole, "few").collect()
+    assert 0 < len(found) <= 59
+    if block < 60:
+        label = near_dup._relabelled(label, near_dup._components(spark.createDataFrame(found), "few"), "few")
+        assert label.select("label").distinct().count() > 1
+        more = near_dup._rest_links(large, label, whole, "few", True)
+        assert 0 < more.count() < 60
+        label = near_dup._relabelled(label, near_dup._components(more, "few"), "few")
+        assert sorted((x.id, x.label) for x in label.collect()) == [(k, 0) for k in range(60)]
+    else:
+        assert sorted((x.a, x.b) for x in found) == [(0, k) for k in range(1, 60)]
+
+
 def test_pairs_of_the_last_bands_are_compared(spark):
     found = near_dup._rest_links(*rest_case(spark, 5, near_dup.BANDS - 1), "last")
     assert {x.b for x in found.collect()} == {1, 2, 3, 4}
 
 
+def test_joined(monkeypatch):
+    r = random.Random(5)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)]
+    want = list(range(300))
+    for _ in range(300):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {b: a for x in near_dup.joined(pairs) for a, b in zip(*(c.to_pylist() for c in x.columns))}
+    assert got == {k: w for k, w in enumerate(want) if w != k}
+    monkeypatch.setattr(near_dup, "JOINED", 10)
+    parts = [(a, b) for x in near_dup.joined(pairs) for a, b in zip(*(c.to_pylist() for c in x.columns))]
+    monkeypatch.undo()
+    assert {b: a for x in near_dup.joined(parts) for a, b in zip(*(c.to_pylist() for c in x.columns))} == got
+
+
 def test_signature_is_unbiased():
     r = np.random.default_rng(2)
     h = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
