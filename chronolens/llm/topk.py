@@ -123,10 +123,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, str, str], size
 _BLOCK = "d int, n int, ids binary, given binary, uids binary, m binary"
 
 
-def _load(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, given = np.frombuffer(row[f"{prefix}ids"], np.int64), np.frombuffer(row[f"{prefix}given"], bool)
-    m = np.frombuffer(row[f"{prefix}m"], np.int32).reshape(row[f"{prefix}n"], row[f"{prefix}d"]).astype(np.int64)
-    return ids, given, np.frombuffer(row[f"{prefix}uids"], np.int64), m
+def _load(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, given = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["given"], bool)
+    return ids, given, np.frombuffer(row["uids"], np.int64), np.frombuffer(row["m"], np.int32).reshape(row["n"], row["d"]).astype(np.int64)
 
 
 def _groups(index: DataFrame) -> DataFrame:
@@ -136,6 +135,14 @@ def _groups(index: DataFrame) -> DataFrame:
     return index.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(n, before)], "part long, before long")
 
 
+def _dealt(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Blocks of the index by group, each followed by the blocks of queries that its group is asked. No join: Spark would judge the blocks of queries by
+    their files, before each is there once a group, and send them all through the driver; and a join's rows would repeat a block of the index."""
+    none = [F.lit(None).cast("binary").alias(c) for c in ("rows", "ends")]
+    both = index.withColumn("asks", F.lit(False)).unionByName(asked.select("*", *none, F.lit(True).alias("asks")))
+    return both.repartition("g").sortWithinPartitions("g", "asks")
+
+
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, k: int = 5, name: str = "topk") -> DataFrame:
     """query_id, rank (from 1), the candidate's id under id_col, score: floor(scale * x) components, integer inner products."""
     rows = df.where(usable(vector)).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -147,9 +154,8 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str
     groups = [r["g"] for r in index.select("g").distinct().collect()]  # at most GROUPS
     asked = rows.where("asks").select(*cols).repartition(max(1, min(64, len(groups)))).mapInArrow(lambda it: _blocks(it, cols, QUERIES_AT_ONCE, False), _BLOCK)
     asked = materialise(asked, f"{name}-queries")
-    asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.explode(F.array(*map(F.lit, groups)) if groups else F.array().cast("array<int>")).alias("g"))
-    # every block of queries meets every block of the index, each pair once
-    pairs = asked.join(index.drop("block", "part", "before"), "g").where("q_d = d")
+    asked = asked.withColumn("g", F.explode(F.array(*map(F.lit, groups)) if groups else F.array().cast("array<int>")))
+    both = _dealt(index.drop("block", "part", "before"), asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple]] = {}
@@ -161,25 +167,36 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector: str
             best.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, schema.types)], schema=schema)
 
+        def answer(q_ids: np.ndarray, q_given: np.ndarray, q_uids: np.ndarray, q_m: np.ndarray, ids: np.ndarray, given: np.ndarray, uids: np.ndarray, block: Block) -> None:
+            for qi, has, qu, q in zip(q_ids.tolist(), q_given.tolist(), q_uids.tolist(), q_m):
+                name_of[qu] = qi if has else None
+                had = best.get(qu, [])
+                # the query's own row may hold a place, hence one more
+                can = block.possible(q, min(k + 1, len(block.m)), -had[k - 1][0] if len(had) >= k else None)
+                can = can[uids[can] != qu]
+                score = block.m[can] @ q
+                new = list(zip((-score).tolist(), (~given[can]).tolist(), ids[can].tolist(), uids[can].tolist()))
+                best[qu] = sorted(had + new)[:k]
+
+        held: list[tuple] = []  # the group's blocks of the index
+        at = None
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: batch.column(j)[r].as_py() for j, c in enumerate(batch.schema.names)}
-                ids, given, uids, m = _load(row, "")
-                q_ids, q_given, q_uids, q_m = _load(row, "q_")
-                block = Block(m, np.frombuffer(row["rows"], np.int32).reshape(row["d"], row["n"]), np.frombuffer(row["ends"], np.int64).reshape(row["d"], LEVELS))
-                for qi, has, qu, q in zip(q_ids.tolist(), q_given.tolist(), q_uids.tolist(), q_m):
-                    name_of[qu] = qi if has else None
-                    had = best.get(qu, [])
-                    # the query's own row may hold a place, hence one more
-                    can = block.possible(q, min(k + 1, len(m)), -had[k - 1][0] if len(had) >= k else None)
-                    can = can[uids[can] != qu]
-                    score = m[can] @ q
-                    new = list(zip((-score).tolist(), (~given[can]).tolist(), ids[can].tolist(), uids[can].tolist()))
-                    best[qu] = sorted(had + new)[:k]
+                if row["g"] != at:
+                    held, at = [], row["g"]
+                ids, given, uids, m = _load(row)
+                if not row["asks"]:
+                    block = Block(m, np.frombuffer(row["rows"], np.int32).reshape(row["d"], row["n"]), np.frombuffer(row["ends"], np.int64).reshape(row["d"], LEVELS))
+                    held.append((ids, given, uids, block))
+                    continue
+                for its, has_id, its_uids, block in held:
+                    if block.m.shape[1] == row["d"]:
+                        answer(ids, given, uids, m, its, has_id, its_uids, block)
                 if len(best) > HELD:
                     yield flush()
         yield flush()
 
-    found = pairs.mapInArrow(run, "quid long, query_id long, id long, uid long, score long")
+    found = both.mapInArrow(run, "quid long, query_id long, id long, uid long, score long")
     w = Window.partitionBy("quid").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "uid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -37,6 +37,16 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.lit(True)).isEmpty()
 
 
+def test_topk_sends_no_blocks_through_the_driver(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, r.standard_normal(8).tolist()) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    out = topk.search(df, F.col("vec_id") % 20 == 0, name="wide")
+    # what goes to all is the number of blocks before each partition's, a row a partition
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
+    assert out.count() == 50
+
+
 def test_topk_proof_keeps_all_members():
     r = np.random.default_rng(1)
     m = r.integers(-120, 120, (3000, 24))
